@@ -29,7 +29,7 @@ from lettermill.plans.commands import (
     TableTarget,
     prepare,
 )
-from lettermill.schema import FOLDER_KEY, MESSAGE_KEY, OUTCOMES
+from lettermill.schema import FOLDER_KEY, MESSAGE_KEY, OUTCOMES, TRASH_FOLDER, TRASH_LABEL
 from lettermill.session import attach, materialise, scratch_path
 from lettermill.sources.archive_table import (
     read_archive_index,
@@ -329,22 +329,52 @@ class _Run:
         )
         self.record(kept, idx, "delete")
         allowed = guarded.filter("not guarded").drop("guarded")
-        hits = self.visit(self.box.messages.filter(condition), allowed)
+        self.record_and_apply_delete(idx, condition, allowed)
+
+    def record_and_apply_delete(self, idx: int, condition: Column, allowed: DataFrame) -> None:
+        """Folders are visited in order, so mail moved to the trash folder is
+        looked at again when that folder is visited later in the same command.
+        """
+        columns = self.box.messages.columns
+        in_trash = F.col("folder") == TRASH_FOLDER
         trashing = F.col("method") == "gmail-trash"
         self.record(
-            hits.withColumn("status", F.when(trashing, "trashed").otherwise("deleted")),
+            self.visit(self.box.messages.filter(condition & ~in_trash), allowed).withColumn(
+                "status", F.when(trashing, "trashed").otherwise("deleted")
+            ),
             idx, "delete",
         )
-        columns = self.box.messages.columns
         known = attach(
-            self.box.messages, allowed.select(*FOLDER_KEY, "method"), FOLDER_KEY, "left"
+            self.box.messages, allowed.select(*FOLDER_KEY, "folder_idx", "method"), FOLDER_KEY
         )
-        going = condition & F.col("method").isNotNull()
+        going = condition & ~in_trash & F.col("method").isNotNull()
         to_trash = F.coalesce(going & trashing, F.lit(False))
-        flagged = tr.flag_deleted(known, F.coalesce(going & ~trashing, F.lit(False)))
+        flagged = tr.flag_deleted(known, F.coalesce(going & ~trashing, F.lit(False))).withColumn(
+            "_moved_at", F.when(to_trash, F.col("folder_idx"))
+        ).drop("folder_idx")
         has_trash = not allowed.filter(trashing).isEmpty()
-        after = tr.gmail_trash(flagged, to_trash) if has_trash else flagged
-        self.set_messages(materialise(after.select(*columns), "messages"))
+        moved = tr.gmail_trash(flagged, F.col("_moved_at").isNotNull()) if has_trash else flagged
+
+        trash_units = allowed.filter(in_trash).drop("folder", "host", "command_idx")
+        again = attach(moved.drop("method").filter(in_trash), trash_units, ["account"])
+        in_time = F.col("_moved_at").isNull() | (F.col("_moved_at") < F.col("folder_idx"))
+        hit = F.coalesce(condition & in_time & F.col("method").isNotNull(), F.lit(False))
+        again = again.withColumn(
+            "status", F.when(hit, F.when(trashing, "trashed").otherwise("deleted"))
+        )
+        again = again.withColumn("deleted", F.col("deleted") | (hit & ~trashing)).withColumn(
+            "labels",
+            F.when(hit & trashing, F.array_union("labels", F.array(F.lit(TRASH_LABEL))))
+            .otherwise(F.col("labels")),
+        )
+        rest = moved.filter(~in_trash).select(*columns)
+        stored = materialise(
+            rest.unionByName(again.select(*columns, "account_idx", "folder_idx", "status"),
+                             allowMissingColumns=True),
+            "messages",
+        )
+        self.record(stored.filter("status is not null"), idx, "delete")
+        self.set_messages(stored.select(*columns))
 
     def result(self) -> Result:
         counts = None
