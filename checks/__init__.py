@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from checks import changes, selection  # noqa: F401
+    from checks import changes, flows, selection  # noqa: F401
 
 
 def all_queries() -> dict:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = dt.datetime(2024, 1, 31)
+# Only the first messages have content; a week before this day divides them.
+MAIL_NOW = dt.datetime(2024, 1, 9)
 
 _FOLDERS = ["INBOX", "[Gmail]/All Mail", "Receipts", "[Gmail]/Spam", "[Gmail]/Trash"]
 
@@ -85,11 +87,15 @@ def _host():
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
     k = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
     folder_idx = "case event_type when 'click' then 0 when 'view' then 1 " \
                  "when 'purchase' then 2 when 'error' then 3 else 4 end"
     folder = "element_at(array(" + ", ".join(f"'{f}'" for f in _FOLDERS) + f"), {folder_idx} + 1)"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         _account_idx().alias("account_idx"),
         F.expr("concat('acct', user_id % 5)").alias("account"),
         F.expr(folder_idx).alias("folder_idx"),
@@ -113,14 +119,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that have content, with header and body as text."""
-    docs = table(spark, sf_dir, "documents").select(
+    return mails_of(table(spark, sf_dir, "events"), table(spark, sf_dir, "documents"))
+
+
+def mails_of(events: DataFrame, documents: DataFrame) -> DataFrame:
+    docs = documents.select(
         F.col("doc_id").alias("uid"),
         F.concat(
             F.lit("From: list-"), F.col("lang"), F.lit("@example.com\r\n\r\n")
         ).alias("header"),
         F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("body"),
     )
-    return messages(spark, sf_dir).join(docs, "uid")
+    return messages_of(events).join(docs, "uid")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
