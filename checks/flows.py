@@ -80,7 +80,7 @@ def archive_names(spark, sf_dir):
 
 
 @query(_MAIL + """ select account, folder, uid, msg_hash, dup_no, length,
-  substr(msg_hash, 1, 2) hash_prefix, cast(strlen(header) as bigint) header_bytes,
+  substr(msg_hash, 1, 1) hash_prefix, cast(strlen(header) as bigint) header_bytes,
   sha256(body) body_hash
 from named join clean using (account, folder, uid)""")
 def archive_rows(spark, sf_dir):

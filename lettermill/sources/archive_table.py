@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.schema import ARCHIVE, MESSAGE_KEY
-from lettermill.session import spread
 
 _CONTENT = (
     "account STRING, folder STRING, uid BIGINT, msg_hash STRING, length BIGINT, "
@@ -35,17 +34,18 @@ def write_archive_content(clean: DataFrame, path: str, cycle_id: int, part: str
 def write_archive_index(
     named: DataFrame, path: str, cycle_id: int, part: str = "0"
 ) -> None:
-    """Write index rows, in one directory per first two hex digits of the hash.
+    """Write index rows, in one directory per first hex digit of the hash.
 
-    Copies of one content share a directory but, divided by UID, not a task.
+    Spark sizes the files itself: a digit with very many rows (copies of one
+    content all share theirs) is divided, small ones are put together.
     """
     prefixed = named.select(
         "msg_hash", "dup_no", "length", "name", *MESSAGE_KEY,
-        F.substring("msg_hash", 1, 2).alias("hash_prefix"),
+        F.substring("msg_hash", 1, 1).alias("hash_prefix"),
     )
-    prefixed.repartition("hash_prefix", spread("uid", buckets=8)).write.mode(
-        "overwrite"
-    ).partitionBy("hash_prefix").parquet(f"{path}/index/cycle_id={cycle_id}/part={part}")
+    prefixed.hint("rebalance", "hash_prefix").write.mode("overwrite").partitionBy(
+        "hash_prefix"
+    ).parquet(f"{path}/index/cycle_id={cycle_id}/part={part}")
 
 
 def write_archive_table(
@@ -57,7 +57,7 @@ def write_archive_table(
 
 
 def read_archive_index(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"{ARCHIVE}, hash_prefix STRING, part STRING"
+    schema = f"{ARCHIVE}, part STRING, hash_prefix STRING"
     return spark.read.schema(schema).option("basePath", f"{path}/index").parquet(f"{path}/index")
 
 
