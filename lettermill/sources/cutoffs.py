@@ -28,15 +28,18 @@ def timestamp_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def cutoff_from_timestamp_file(spark: SparkSession, path: str) -> int:
     """Nanoseconds since the epoch; fails, naming the path, when unreadable."""
-    return timestamp_files(spark, [path]).first()["cutoff_ns"]
+    found = timestamp_files(spark, [path]).first()
+    if found is None:  # Spark reads no row from an empty file
+        raise ValueError(f"failed to decode a timestamp from the first line of {path}")
+    return found["cutoff_ns"]
 
 
 def cutoff_from_mtime(spark: SparkSession, path: str) -> int:
-    """Modification time of a file as nanoseconds since the epoch."""
-    found = (
-        spark.read.format("binaryFile")
-        .load(os.path.expanduser(path))
-        .select(F.unix_micros("modificationTime").alias("micros"))
-        .first()
-    )
-    return found["micros"] * 1000
+    """Modification time of a file as nanoseconds since the epoch.
+
+    Asked of the file system: the file is often an empty one that was touched,
+    and such files give no rows in any Spark source.
+    """
+    file = spark._jvm.org.apache.hadoop.fs.Path(os.path.expanduser(path))
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(file).getModificationTime() * 10**6

@@ -155,8 +155,8 @@ def publish_files(named: DataFrame, path: str) -> DataFrame:
     )
 
 
-def maildir_names(spark: SparkSession, path: str) -> DataFrame:
-    """(msg_hash, dup_no) of files in ``new/`` and ``cur/``; reads names only.
+def list_maildir(spark: SparkSession, path: str) -> DataFrame:
+    """(part, name) of the files in ``new/`` and ``cur/``.
 
     Each directory is listed by one task, name by name, so a long listing is
     neither held in memory nor sent to the driver.
@@ -169,30 +169,57 @@ def maildir_names(spark: SparkSession, path: str) -> DataFrame:
             for part in batch["part"]:
                 with os.scandir(os.path.join(root, part)) as entries:
                     while names := [e.name for e in itertools.islice(entries, 10_000)]:
-                        yield pd.DataFrame({"name": names})
+                        yield pd.DataFrame({"part": part, "name": names})
 
     parts = spark.range(0, 2, 1, 2).select(
         F.when(F.col("id") == 0, "new").otherwise("cur").alias("part")
     )
-    names = parts.mapInPandas(run, "name string")
-    return names.select(
-        F.regexp_extract("name", _NAME, 1).alias("msg_hash"),
-        F.regexp_extract("name", _NAME, 2).try_cast("bigint").alias("dup_no"),
-    ).filter("msg_hash <> ''")
+    return parts.mapInPandas(run, "part string, name string")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("msg_hash", F.regexp_extract("name", _NAME, 1)).withColumn(
+        "dup_no", F.regexp_extract("name", _NAME, 2).try_cast("bigint")
+    )
+
+
+def maildir_names(spark: SparkSession, path: str) -> DataFrame:
+    """(msg_hash, dup_no) of the files of a Maildir that carry such names."""
+    return _named(list_maildir(spark, path)).filter("msg_hash <> ''").select("msg_hash", "dup_no")
+
 
+def ingest_maildir(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """Messages of a Maildir with name, hash, duplicate number, header and body.
 
-def ingest_maildir(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a Maildir with name, hash, duplicate number, header and body."""
+    Files are opened by Python tasks: Spark's file sources skip empty files and
+    cannot open names with a colon, which mail readers put into ``cur/``.
+    """
     root = os.path.expanduser(path)
-    files = spark.read.format("binaryFile").load([f"{root}/new", f"{root}/cur"])
-    base = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        base.alias("name"),
-        F.regexp_extract(base, _NAME, 1).alias("msg_hash"),
-        F.regexp_extract(base, _NAME, 2).try_cast("bigint").alias("dup_no"),
-        F.col("length"),
+    tasks = tasks or max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+    def read(part: str, name: str) -> bytes:
+        with open(os.path.join(root, part, name), "rb") as file:
+            return file.read()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                some = batch.iloc[at : at + 64]
+                yield some[["name"]].assign(
+                    content=[read(p, n) for p, n in zip(some["part"], some["name"])]
+                )
+
+    names = list_maildir(spark, path).repartition(tasks, "name")
+    files = names.mapInPandas(run, "name string, content binary")
+    parts = files.select(
+        "name", F.octet_length("content").cast("bigint").alias("length"),
         split_message(F.col("content")).alias("_parts"),
-    ).select("name", "msg_hash", "dup_no", "length", "_parts.header", "_parts.body")
+    )
+    return _named(parts).select(
+        "name", "msg_hash", "dup_no", "length", "_parts.header", "_parts.body"
+    )
 
 
 def add_names(rows: DataFrame, host: str | None = None) -> DataFrame:

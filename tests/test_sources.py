@@ -1,0 +1,114 @@
+import os
+
+from pyspark.sql import functions as F
+
+from boxes import mailbox, message
+from lettermill.operators import delivery as dlv
+from lettermill.operators.ranking import duplicate_number
+from lettermill.plans.commands import Fetch, MaildirTarget
+from lettermill.plans.pipeline import run_pipeline
+from lettermill.sources import maildir as md
+from lettermill.sources import responses as rs
+from lettermill.sources.mailbox import human_count, porcelain_count, write_lines
+from boxes import NOW
+
+
+def lines(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "line string")
+
+
+def test_folder_lists(spark):
+    got = rs.ingest_list_response(lines(
+        spark, '(\\Trash \\Nya) "." "All Mail"', '(\\Trash \\Nya) "." "All\\"Mail"',
+        '() "/" INBOX', '(\\A) NIL "back\\\\slash"', "nonsense",
+    )).collect()
+    assert [(r.attributes, r.delimiter, r.folder) for r in got] == [
+        (["\\Trash", "\\Nya"], ".", "All Mail"), (["\\Trash", "\\Nya"], ".", 'All"Mail'),
+        ([], "/", "INBOX"), (["\\A"], "NIL", "back\\slash")]
+
+
+def test_sizes(spark):
+    good, bad = rs.ingest_fetch_metadata(lines(
+        spark, "1 (UID 123 RFC822.SIZE 128)", "2 (rfc822.size 5 uid 7)", "3 (UID 9)",
+        "4 (RFC822.SIZE 3)", "5 (UID 1 RFC822.SIZE 2 UID 8)",
+    ))
+    assert [(r.uid, r.size) for r in good.collect()] == [(123, 128), (7, 5), (8, 2)]
+    assert [(r.uid, r.size, r.status) for r in bad.collect()] == [
+        (9, None, "conflict"), (None, 3, "conflict")]
+
+
+def test_search_results(spark):
+    good, bad = rs.ingest_search_results(lines(spark, "1 2 3", "", None, " 9 "))
+    assert [r.uid for r in good.collect()] == [1, 2, 3, 9] and bad.count() == 1
+
+
+def test_count_lines(spark, tmp_path):
+    counts = spark.createDataFrame([("INBOX", 1), ("x", 0)], "folder string, n bigint")
+    write_lines(porcelain_count(counts), str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["0 x", "1 INBOX"]
+    assert [r.line for r in human_count(counts, "(ALL)").collect()] == [
+        "folder `INBOX` has 1 message matching (ALL)", "folder `x` has 0 messages matching (ALL)"]
+
+
+def files(path, part="new"):
+    return sorted(os.listdir(os.path.join(path, part)))
+
+
+def test_maildir_names_and_duplicates(spark, tmp_path):
+    """Copies get numbers; those already filed, also in cur/, are not reused."""
+    path = str(tmp_path / "mail")
+    rows = [message("a", "INBOX", 1), message("a", "Lists", 1), message("b", "INBOX", 4),
+            message("b", "INBOX", 5, body=b"a\r\nb\xff\x00"),
+            message("b", "INBOX", 6, header=b"", body=b"")]
+    box = mailbox(spark, rows)
+    fetch = Fetch(target=MaildirTarget(path, "host"))
+    result = run_pipeline(box, [fetch], NOW)
+    assert result.messages.filter("not seen").count() == 0
+    first = files(path)
+    assert len(first) == 5 and files(path, "tmp") == []
+    assert sorted(n.split("_")[2].split(".")[0] for n in first) == ["0", "0", "0", "1", "2"]
+    moved = next(n for n in first if "_2." in n)
+    os.rename(os.path.join(path, "new", moved), os.path.join(path, "cur", moved + ":2,S"))
+    run_pipeline(box, [fetch], NOW)
+    again = files(path)
+    assert len(again) == 9 and not moved in again
+    assert {n.split("_")[2].split(".")[0] for n in again} == {"0", "1", "3", "4", "5"}
+    back = md.ingest_maildir(spark, path).filter("dup_no = 0").collect()
+    assert {(bytes(r.header), bytes(r.body)) for r in back} == {
+        (b"From: x\n\n", b"hello"), (b"From: x\n\n", b"a\nb\xff\x00"), (b"", b"")}
+
+
+def test_publishing_twice_is_harmless(spark, tmp_path):
+    path = str(tmp_path / "mail")
+    clean = dlv.clean_content(mailbox(spark, [message("a", "INBOX", 1)]).messages)
+    written = md.write_tmp_files(clean, path, "host").toPandas()
+    named = spark.createDataFrame(written.drop(columns="detail").assign(name="N"))
+    assert files(path) == [] and len(files(path, "tmp")) == 1
+    for _ in range(2):
+        assert [r.ok for r in md.publish_files(named, path).collect()] == [True]
+    assert files(path) == ["N"] and files(path, "tmp") == []
+
+
+def test_names_are_never_overwritten(spark, tmp_path):
+    path = str(tmp_path / "mail")
+    clean = dlv.clean_content(mailbox(spark, [message("a", "INBOX", 1)]).messages)
+    written = md.write_tmp_files(clean, path, "host").toPandas()
+    (tmp_path / "mail" / "new" / "N").write_text("precious")
+    named = spark.createDataFrame(written.drop(columns="detail").assign(name="N"))
+    row = md.publish_files(named, path).first()
+    assert not row.ok and "taken" in row.detail
+    assert (tmp_path / "mail" / "new" / "N").read_text() == "precious"
+
+
+def test_maildir_format(spark, tmp_path):
+    path = str(tmp_path / "mail")
+    rows = [message("a", "INBOX", i, body=b"x%d" % (i % 3)) for i in range(9)]
+    clean = dlv.clean_content(mailbox(spark, rows).messages).withColumn(
+        "account_idx", F.lit(0)).withColumn("folder_idx", F.lit(0))
+    named = md.add_names(duplicate_number(clean), "host")
+    md.write_maildir(named, path)
+    md.write_maildir(named, path)  # same names: already there
+    assert len(files(path)) == 9 and files(path, "tmp") == []
+    hashes = md.ingest_maildir(spark, path).select(
+        "msg_hash", F.sha2(F.concat("header", "body"), 256).alias("real"))
+    assert hashes.filter("msg_hash <> real").count() == 0
