@@ -330,7 +330,7 @@ def backup_expire(spark, sf_dir):
 @query(f"""with {mb.MESSAGES_SQL} select account, folder, uid,
   case when cast(internal_date as date) < date '2024-01-11' then 0
     when cast(internal_date as date) < date '2024-01-21' then 1
-    when cast(internal_date as date) < date '2024-01-03' then 2 else -1 end tranche from msgs""")
+    when cast(internal_date as date) < date '2024-01-29' then 2 else -1 end tranche from msgs""")
 def tranches(spark, sf_dir):
     staged = recipes.tranche(mb.messages(spark, sf_dir), mb.NOW, (20, 10, 2))
     return staged.select("account", "folder", "uid",
@@ -369,19 +369,24 @@ def two_trackers(spark, sf_dir):
 
 
 @query(_MAIL + """,
-sent as (select h.account, h.account_idx, h.folder, h.uid, substr(msg_hash,1,1) >= '4' ok
+sent as (select h.account, h.account_idx, h.folder, h.uid, substr(msg_hash,1,1) >= '4' ok,
+    (row_number() over (partition by h.account, h.folder order by h.uid) - 1) // 150 batch
   from hashed h join msgs m using (uid) where not m.seen)
 select account, folder, uid, case when ok then 'marked' else 'failed' end status from sent
 union all
-select account, folder, cast(-1 as bigint), 'error' from sent where not ok group by 1, 2
+select account, folder, cast(-1 as bigint), 'error' from sent where not ok
+  group by account, folder, batch
 union all
 select account, folder, -1, 'error' from (select distinct account from sent where not ok)
 cross join (values ('INBOX'),('Receipts')) f(folder)""")
 def careful_fetch_blocks_delete(spark, sf_dir):
-    """Some deliveries fail; those accounts are not deleted from afterwards."""
+    """Some deliveries fail; those accounts are not deleted from afterwards.
+
+    Batches are limited by number only, so that SQL can tell them apart too.
+    """
     target = CallTarget(lambda raw, digest: digest[0] >= "4", "function")
     commands = [
-        Fetch(target=target, mode="yolo"),
+        Fetch(target=target, mode="yolo", batch_size=1 << 50),
         Count(filter=MessageFilter(seen=False)),
         Delete(filter=MessageFilter(older_than_days=(7,)), folders=FolderChoice(("INBOX", "Receipts"))),
     ]

@@ -30,13 +30,23 @@ def attrs_to_map(items: Column) -> Column:
             F.upper(F.get(items, i)).alias("key"), F.get(items, i + 1).alias("value")
         ),
     )
-    names = F.transform(pairs, lambda p: p["key"])
-    last_only = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(
-            F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), p["key"]
+
+    def last_of_each(bound):
+        def is_last(pair, i):
+            later = F.slice(bound["names"], i + 2, F.size(bound["names"]))
+            return ~F.array_contains(later, pair["key"])
+
+        return F.filter(bound["pairs"], is_last)
+
+    # A list of one struct binds both arrays, so that each is built only once.
+    bound = F.array(F.struct(pairs.alias("pairs"))).alias("_")
+    bound = F.transform(
+        bound,
+        lambda b: F.struct(
+            b["pairs"].alias("pairs"),
+            F.transform(b["pairs"], lambda p: p["key"]).alias("names"),
         ),
     )
-    result = F.map_from_entries(last_only)
+    result = F.map_from_entries(F.get(F.transform(bound, last_of_each), F.lit(0)))
     complaint = F.raise_error(F.concat(F.lit("odd number of attributes: "), n.cast("string")))
     return F.when(n % 2 == 1, complaint.cast("map<string,string>")).otherwise(result)

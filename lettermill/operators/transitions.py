@@ -59,10 +59,17 @@ def expunge(messages: DataFrame, condition: Column) -> DataFrame:
     Every message already flagged as deleted goes with them when it is in a
     folder where something matched; other folders are left alone.
     """
-    touched = messages.filter(condition).select(*FOLDER_KEY).distinct()
-    rest = messages.filter(~condition)
+    return _after_expunge(messages.filter(~condition), messages.filter(condition))
+
+
+def _after_expunge(rest: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rest`` without flagged messages in the folders ``gone`` was taken from.
+
+    Only messages with the flag, normally few, take part in the join.
+    """
+    touched = gone.select(*FOLDER_KEY).distinct()
     stale = attach(rest.filter("deleted"), touched, FOLDER_KEY, "left_anti")
-    return rest.filter("not deleted").unionByName(stale.select(*messages.columns))
+    return rest.filter("not deleted").unionByName(stale.select(*rest.columns))
 
 
 def close_folder(messages: DataFrame, folders: Column) -> DataFrame:
@@ -77,29 +84,35 @@ def gmail_trash(messages: DataFrame, condition: Column) -> DataFrame:
     their old folder and UID.
     """
     moving = condition & (F.col("folder") != TRASH_FOLDER)
-    labelled = messages.withColumn(
-        "labels",
-        F.when(condition, F.array_union("labels", F.array(F.lit(TRASH_LABEL)))).otherwise(
-            F.col("labels")
-        ),
-    )
+    stay = messages.filter(~moving).withColumn("labels", F.when(
+        condition, _with_trash_label()).otherwise(F.col("labels")))
+    return stay.unionByName(_moved_to_trash(messages.filter(moving), messages))
+
+
+def _with_trash_label() -> Column:
+    return F.array_union("labels", F.array(F.lit(TRASH_LABEL)))
+
+
+def _moved_to_trash(moving: DataFrame, messages: DataFrame) -> DataFrame:
     last_uid = (
         messages.filter(F.col("folder") == TRASH_FOLDER)
         .groupBy("account")
         .agg(F.max("uid").alias("_base"))
     )
     moved = number_rows(
-        labelled.filter(moving).withColumn("_uid_block", F.expr(f"uid div {UID_BLOCK}")),
+        moving.withColumn("_uid_block", F.expr(f"uid div {UID_BLOCK}")),
         ["account"],
         [["folder"], ["_uid_block"]],
         ["folder", "uid"],
         "_position",
         last_uid,
     )
-    moved = moved.withColumn("folder", F.lit(TRASH_FOLDER)).withColumn(
-        "uid", F.col("_position") + 1
+    return (
+        moved.withColumn("folder", F.lit(TRASH_FOLDER))
+        .withColumn("uid", F.col("_position") + 1)
+        .withColumn("labels", _with_trash_label())
+        .select(*moving.columns)
     )
-    return labelled.filter(~moving).unionByName(moved.select(*messages.columns))
 
 
 def delete(
@@ -114,10 +127,11 @@ def delete(
         return gmail_trash(messages, condition)
     if method != "auto" or accounts is None:
         raise ValueError(f"delete method must be one of {DELETE_METHODS}; auto needs accounts")
-    gmail = accounts.filter(F.col("host") == GMAIL_HOST).select(
-        "account", F.lit(True).alias("_gmail")
+    # Only matching messages are looked up; the others are just passed on.
+    hits = resolve_delete_method(messages.filter(condition), accounts).select(
+        *messages.columns, "method"
     )
-    known = attach(messages, gmail, ["account"])
-    to_trash = condition & F.col("_gmail").isNotNull() & (F.col("folder") != TRASH_FOLDER)
-    expunged = expunge(known, condition & ~to_trash)
-    return gmail_trash(expunged, to_trash).drop("_gmail")
+    trashed = hits.filter("method = 'gmail-trash'").drop("method")
+    expunged = hits.filter("method = 'delete'").drop("method")
+    rest = _after_expunge(messages.filter(~condition), expunged)
+    return rest.unionByName(_moved_to_trash(trashed, messages))
