@@ -23,14 +23,14 @@ from lettermill.operators.ranking import number_in_folder
 from lettermill.schema import BATCH_NUMBER, BATCH_SIZE, FETCH_NUMBER
 from lettermill.session import materialise, ship_package
 
-_SEGMENT_ROWS = 120_000
+_SEGMENT_ROWS = 500_000
 _SEGMENT = ["account", "folder", "segment"]
 _PACKED = (
     "account string, folder string, segment bigint, start_n bigint, start_bytes bigint, "
     "end_n bigint, end_bytes bigint, closed bigint"
 )
 _SHAPE = _PACKED + (
-    ", rows bigint, in_order boolean, head array<bigint>, tail array<bigint>"
+    ", rows bigint, one_size bigint, in_order boolean, head array<bigint>, tail array<bigint>"
 )
 _PLAN = (
     "account string, folder string, segment bigint, start_n bigint, start_bytes bigint, "
@@ -93,6 +93,29 @@ def _shape(sizes: np.ndarray, max_n: int, max_bytes: int):
     return True, sums[: max_n + 1].tolist(), (sums[-1] - sums[::-1][:max_n]).tolist()
 
 
+def _end_of_equals(n: int, size: int, rows: int, each: int, max_n: int, max_bytes: int):
+    """Where packing ``rows`` messages of one size ends, by division.
+
+    Many copies of one message make such segments; from different open batches
+    they never come to the same end, so packing them again would not help.
+    """
+
+    def fitting(used: int) -> int:
+        return rows if each == 0 else (max_bytes - 1 - used) // each
+
+    per_batch = min(max_n, fitting(0))
+    if per_batch == 0:  # too large for any batch: each travels alone
+        return 0, 0, rows + (n > 0)
+    joining = min(rows, max_n - n, fitting(size))
+    rest = rows - joining
+    closed, n, size = 0, n + joining, size + joining * each
+    if rest:
+        closed = (rest - 1) // per_batch + 1
+        n = rest - (closed - 1) * per_batch
+        size = n * each
+    return (0, 0, closed + 1) if n == max_n else (n, size, closed)
+
+
 def _follow(
     segments: pd.DataFrame, memo: dict, max_n: int, max_bytes: int
 ) -> Iterator[tuple]:
@@ -106,6 +129,8 @@ def _follow(
             total = n + row.rows
             left = total % max_n
             end = (left, int(row.tail[left]), total // max_n)
+        if end is None and row.one_size >= 0:
+            end = _end_of_equals(n, size, row.rows, row.one_size, max_n, max_bytes)
         if end is None:
             known = False
             end = next(reversed(known_ends.values()))  # likely: same end from any start
@@ -143,9 +168,10 @@ def size_batches(
         sizes = pdf.sort_values("uid")["size"].to_numpy()
         packer, _ = _pack(sizes, 0, 0, chunk_n, max_n, max_bytes)
         in_order, head, tail = _shape(sizes, max_n, max_bytes)
+        one_size = int(sizes[0]) if (sizes == sizes[0]).all() else -1
         return pd.DataFrame(
             [(*pdf[_SEGMENT].iloc[0], 0, 0, packer.n, packer.size, packer.closed,
-              len(sizes), in_order, head, tail)],
+              len(sizes), one_size, in_order, head, tail)],
             columns=[f.split()[0] for f in _SHAPE.split(", ")],
         )
 
@@ -182,7 +208,7 @@ def size_batches(
     shapes = materialise(rows.groupBy(*_SEGMENT).applyInPandas(shape, _SHAPE), "batch-shapes")
     tried = shapes.select(*[f.split()[0] for f in _PACKED.split(", ")])
     while True:
-        # One small row per segment: a folder of 10^9 messages has some 8,000.
+        # One small row per segment: a folder of 10^9 messages has some 2,000.
         plans = materialise(
             shapes.groupBy("account", "folder")
             .cogroup(tried.groupBy("account", "folder"))

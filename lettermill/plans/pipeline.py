@@ -81,10 +81,13 @@ def _small_arrow_batches(spark: SparkSession, rows: int = 256):
         spark.conf.set(name, before)
 
 
-def _content_of(box: Mailbox, wanted: DataFrame, condition: Column) -> DataFrame:
+def _content_of(
+    box: Mailbox, wanted: DataFrame, condition: Column, stopped: DataFrame | None
+) -> DataFrame:
     """Key, header and body of the wanted messages that have content."""
     if box.contents is None:
-        return box.messages.filter(condition).select(*MESSAGE_KEY, "header", "body")
+        rows = box.messages.filter(condition).select(*MESSAGE_KEY, "header", "body")
+        return rows if stopped is None else attach(rows, stopped, ["account"], "left_anti")
     keys = wanted.select(*MESSAGE_KEY, "origin_folder", "origin_uid")
     return keys.join(box.contents, ["account", "origin_folder", "origin_uid"]).select(
         *MESSAGE_KEY, "header", "body"
@@ -92,12 +95,18 @@ def _content_of(box: Mailbox, wanted: DataFrame, condition: Column) -> DataFrame
 
 
 def _deliver(
-    box: Mailbox, selected: DataFrame, condition: Column, command: Fetch, cycle_id: int, idx: int
+    box: Mailbox,
+    selected: DataFrame,
+    condition: Column,
+    command: Fetch,
+    cycle_id: int,
+    idx: int,
+    stopped: DataFrame | None = None,
 ) -> DataFrame:
     """(key, ok, detail) of every message whose content was found."""
     spark = box.messages.sparkSession
     clean = dlv.clean_content(
-        _content_of(box, selected, condition).filter(
+        _content_of(box, selected, condition, stopped).filter(
             F.col("header").isNotNull() & F.col("body").isNotNull()
         )
     )
@@ -256,7 +265,9 @@ class _Run:
             size_batches(selected, command.fetch_number, command.batch_number, command.batch_size),
             "batches",
         )
-        results = _deliver(self.box, selected, condition, command, self.cycle_id, idx)
+        results = _deliver(
+            self.box, selected, condition, command, self.cycle_id, idx, self.stopped
+        )
         attempts = materialise(
             self.visit(batches, units).join(results, MESSAGE_KEY, "left"), "attempts"
         )

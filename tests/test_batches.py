@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.operators import ranking
+from lettermill.operators import batching, ranking
 from lettermill.operators.batching import batch_totals, size_batches
 from lettermill.operators.ranking import chunk, duplicate_number, number_in_folder
 
@@ -57,10 +58,13 @@ def test_segments_change_nothing(spark, limits):
         lambda i: rnd.choice([1, 1, 1, 1, 1, limits[2] + 20]),
         lambda i: rnd.randint(limits[2] // 2, limits[2] - 1) if i < 5 else 2,
         lambda i: limits[2] // 4 if (i // 50) % 2 else 1,
+        lambda i: limits[2] // 3,
+        lambda i: limits[2] + 5 if 80 < i < 190 else 7,
+        lambda i: limits[2] // 3 if i > 7 else 0,
     ]
     rows, want = [], {}
-    for f in range(10):
-        sizes = [kinds[f % 5](i) for i in range(rnd.randint(1, 300))]
+    for f in range(16):
+        sizes = [kinds[f % 8](i) for i in range(rnd.randint(1, 300))]
         for i, b in enumerate(packed_by_hand(sizes, *limits)):
             rows.append(("a", f"f{f}", i * 7, sizes[i]))
             want["a", f"f{f}", i * 7] = b
@@ -73,6 +77,18 @@ def test_segments_change_nothing(spark, limits):
     assert over.count() == 0
 
 
+def test_equal_sizes_by_division():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        max_n, max_bytes, each = rnd.randint(1, 6), rnd.randint(1, 60), rnd.randint(0, 70)
+        chunk_n, rows = rnd.randint(1, 9), rnd.randint(1, 60)
+        n = rnd.randint(0, max_n - 1)
+        size = rnd.randint(0, max_bytes - 1) if n else 0
+        packer, _ = batching._pack(np.full(rows, each), n, size, chunk_n, max_n, max_bytes)
+        assert batching._end_of_equals(n, size, rows, each, max_n, max_bytes) == (
+            packer.n, packer.size, packer.closed), (n, size, rows, each, max_n, max_bytes)
+
+
 def test_positions_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranking, "UID_BLOCK", 8)
     rnd = random.Random(3)
