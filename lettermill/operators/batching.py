@@ -2,11 +2,16 @@
 
 Packing is a running decision: whether a message joins the open batch depends
 on everything packed before it in its folder.  To keep one huge folder from
-becoming one task, a folder is divided into segments of whole chunks.  All
-segments are packed at the same time from an assumed open batch, the
-assumptions are then checked against what the segment before really left open,
-and only segments with a wrong assumption are packed again, until none is
-left.  The outcome is exactly that of packing the folder from front to end.
+becoming one task, a folder is divided into segments of whole chunks that are
+packed at the same time.
+
+How a segment starts depends on the open batch the one before it leaves.  That
+is not known, but there are few possibilities: packed from many different open
+batches, a segment ends in a handful of ways, because packings that once agree
+agree ever after.  Each segment is packed from all ends found for the one
+before it.  One walk over the segments then links starts to ends.  An end that
+was not foreseen is packed again from its real start, until none is left, so
+the outcome is exactly that of packing the folder from front to end.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ from lettermill.operators.ranking import number_in_folder
 from lettermill.schema import BATCH_NUMBER, BATCH_SIZE, FETCH_NUMBER
 from lettermill.session import materialise, ship_package
 
-_SEGMENT_ROWS = 500_000
+_SEGMENT_ROWS = 150_000
+_PROBES = 64
 _SEGMENT = ["account", "folder", "segment"]
 _PACKED = (
     "account string, folder string, segment bigint, start_n bigint, start_bytes bigint, "
     "end_n bigint, end_bytes bigint, closed bigint"
 )
 _SHAPE = _PACKED + (
-    ", rows bigint, one_size bigint, in_order boolean, head array<bigint>, tail array<bigint>"
+    ", rows bigint, one_size bigint, in_order boolean, head array<bigint>, tail array<bigint>, "
+    "ends array<struct<n:bigint,size:bigint>>"
 )
 _PLAN = (
     "account string, folder string, segment bigint, start_n bigint, start_bytes bigint, "
@@ -78,6 +85,39 @@ def _pack(sizes: np.ndarray, n: int, size: int, chunk_n: int, max_n: int, max_by
     return packer, labels
 
 
+def _pack_from_many(
+    sizes: np.ndarray, starts: list[tuple[int, int]], chunk_n: int, max_n: int, max_bytes: int
+) -> list[tuple[int, int, int]]:
+    """(n, bytes, closed batches) at the end, for each open batch at the start.
+
+    Packings that have come to the same open batch go on as one.
+    """
+    state, closed = list(starts), [0] * len(starts)
+    scratch = np.empty(chunk_n, dtype=np.int64)
+    for at in range(0, len(sizes), chunk_n):
+        chunk = sizes[at : at + chunk_n].tolist()
+        after: dict[tuple[int, int], tuple[tuple[int, int], int]] = {}
+        for i, before in enumerate(state):
+            if before not in after:
+                packer = Packer(max_n, max_bytes, *before)
+                packer.add_chunk(chunk, scratch, 0)
+                after[before] = (packer.n, packer.size), packer.closed
+            state[i] = after[before][0]
+            closed[i] += after[before][1]
+    return [(n, size, c) for (n, size), c in zip(state, closed)]
+
+
+def _likely_ends(sizes: np.ndarray, chunk_n: int, max_n: int, max_bytes: int):
+    """The ways a segment ends when it starts with more or less full batches."""
+    usual = min(max_n, max_bytes / max(1.0, float(sizes.mean())))
+    starts = [
+        (int(usual * k / _PROBES), max_bytes * k // _PROBES if usual * k >= _PROBES else 0)
+        for k in range(_PROBES)
+    ]
+    ends = _pack_from_many(sizes, starts, chunk_n, max_n, max_bytes)
+    return [{"n": n, "size": size} for n, size in sorted({(n, size) for n, size, _ in ends})]
+
+
 def _shape(sizes: np.ndarray, max_n: int, max_bytes: int):
     """What a segment does when only the count limit ever binds.
 
@@ -169,20 +209,33 @@ def size_batches(
         packer, _ = _pack(sizes, 0, 0, chunk_n, max_n, max_bytes)
         in_order, head, tail = _shape(sizes, max_n, max_bytes)
         one_size = int(sizes[0]) if (sizes == sizes[0]).all() else -1
+        ends = []
+        if len(sizes) == span and not in_order and one_size < 0:
+            ends = _likely_ends(sizes, chunk_n, max_n, max_bytes)
         return pd.DataFrame(
             [(*pdf[_SEGMENT].iloc[0], 0, 0, packer.n, packer.size, packer.closed,
-              len(sizes), one_size, in_order, head, tail)],
+              len(sizes), one_size, in_order, head, tail, ends)],
             columns=[f.split()[0] for f in _SHAPE.split(", ")],
         )
 
-    def repack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uid")
-        n, size = int(pdf["start_n"].iloc[0]), int(pdf["start_bytes"].iloc[0])
-        packer, _ = _pack(pdf["size"].to_numpy(), n, size, chunk_n, max_n, max_bytes)
+    def repack(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        columns = [f.split()[0] for f in _PACKED.split(", ")]
+        if pdf.empty or starts.empty:
+            return pd.DataFrame(columns=columns)
+        sizes = pdf.sort_values("uid")["size"].to_numpy()
+        given = list(zip(starts["start_n"].tolist(), starts["start_bytes"].tolist()))
+        ends = _pack_from_many(sizes, given, chunk_n, max_n, max_bytes)
+        where = tuple(pdf[_SEGMENT].iloc[0])
         return pd.DataFrame(
-            [(*pdf[_SEGMENT].iloc[0], n, size, packer.n, packer.size, packer.closed)],
-            columns=[f.split()[0] for f in _PACKED.split(", ")],
+            [(*where, *start, *end) for start, end in zip(given, ends)], columns=columns
+        )
+
+    def try_starts(starts: DataFrame, label: str) -> DataFrame:
+        wanted = rows.join(starts.select(*_SEGMENT).distinct(), _SEGMENT, "left_semi")
+        packed = (
+            wanted.groupBy(*_SEGMENT).cogroup(starts.groupBy(*_SEGMENT)).applyInPandas(repack, _PACKED)
         )
+        return materialise(packed, label)
 
     def plan(shapes: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
         memo: dict = {}
@@ -207,8 +260,13 @@ def size_batches(
 
     shapes = materialise(rows.groupBy(*_SEGMENT).applyInPandas(shape, _SHAPE), "batch-shapes")
     tried = shapes.select(*[f.split()[0] for f in _PACKED.split(", ")])
+    foreseen = shapes.select(
+        "account", "folder", (F.col("segment") + 1).alias("segment"), F.inline("ends")
+    ).withColumnsRenamed({"n": "start_n", "size": "start_bytes"})
+    if not foreseen.isEmpty():
+        tried = tried.unionByName(try_starts(foreseen, "batch-tries"))
     while True:
-        # One small row per segment: a folder of 10^9 messages has some 2,000.
+        # One small row per segment: a folder of 10^9 messages has some 7,000.
         plans = materialise(
             shapes.groupBy("account", "folder")
             .cogroup(tried.groupBy("account", "folder"))
@@ -218,12 +276,9 @@ def size_batches(
         wrong = plans.filter(~F.col("known"))
         if wrong.isEmpty():
             break
-        again = (
-            rows.join(wrong.drop("first_batch", "known"), _SEGMENT)
-            .groupBy(*_SEGMENT)
-            .applyInPandas(repack, _PACKED)
+        tried = tried.unionByName(
+            try_starts(wrong.select(*_SEGMENT, "start_n", "start_bytes"), "batch-retry")
         )
-        tried = tried.unionByName(materialise(again, "batch-retry"))
     return (
         rows.join(plans.drop("known"), _SEGMENT)
         .groupBy(*_SEGMENT)
