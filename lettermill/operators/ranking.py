@@ -108,7 +108,9 @@ def duplicate_number(
         rows = materialise(rows, "hashes")
     base = None
     if archive is not None:
-        base = archive.groupBy("msg_hash").agg((F.max("dup_no") + 1).alias("_base"))
+        # Of a large archive only the contents at hand matter.
+        known = archive.join(rows.select("msg_hash").distinct(), "msg_hash", "left_semi")
+        base = known.groupBy("msg_hash").agg((F.max("dup_no") + 1).alias("_base"))
     crowded = (
         rows.groupBy("msg_hash")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 _SPREAD = 32
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_mine = threading.local()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -38,7 +42,27 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/lettermill/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/lettermill/{label}-{uuid.uuid4().hex}"
+    made = getattr(_mine, "paths", None)
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_released(spark: SparkSession) -> Iterator[None]:
+    """Delete what this thread writes as scratch inside the block, at its end.
+
+    For work whose results are stored elsewhere by then, such as a cycle.
+    """
+    outer, _mine.paths = getattr(_mine, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _mine.paths = _mine.paths, outer
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
