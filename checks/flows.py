@@ -317,8 +317,7 @@ def backup_expire(spark, sf_dir):
     """Fetch, then expire what is older than the last backup and five days."""
     stamp = scratch_path(spark, "stamp")
     newest = mb.table(spark, sf_dir, "events").agg(
-        (F.unix_seconds(F.date_trunc("day", F.max("ts")).cast("timestamp")) - 28 * 86400)
-        .cast("string")
+        F.expr("cast((datediff(max(ts), date'1970-01-01') - 28) * 86400 as string)")
     )
     newest.coalesce(1).write.text(stamp)
     chosen = FolderChoice(("[Gmail]/All Mail", "[Gmail]/Spam", "[Gmail]/Trash"))

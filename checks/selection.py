@@ -77,9 +77,8 @@ def older_than_stamp(spark, sf_dir):
     """The cut-off comes from a stamp file: twelve days before the newest message."""
     path = scratch_path(spark, "stamp")
     events = mb.table(spark, sf_dir, "events")
-    events.agg((F.unix_seconds(F.max("ts").cast("timestamp")) - 12 * 86400).cast("string")).coalesce(
-        1
-    ).write.text(path)
+    seconds = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', max(ts)) - 12 * 86400"
+    events.agg(F.expr(f"cast({seconds} as string)")).coalesce(1).write.text(path)
     chosen = MessageFilter(older_than_days=(7,), older_than_timestamp_in=(path,))
     return mb.messages(spark, sf_dir).filter(chosen.column(mb.NOW, spark)).select(*_SELECTED)
 

@@ -42,25 +42,22 @@ class FolderChoice:
 
     def unknown(self, folders: DataFrame, accounts: DataFrame) -> DataFrame:
         """Named folders that an account does not have, as error rows."""
-        asked = [f for f in self.include if f not in self.exclude]
-        names = F.array(*[F.lit(f) for f in asked]) if asked else F.array().cast("array<string>")
-        requested = accounts.select(
-            "account_idx", "account", F.posexplode(names).alias("folder_idx", "folder")
+        asked = [(i, f) for i, f in enumerate(self.include) if f not in self.exclude]
+        named = F.array(*[F.struct(F.lit(i), F.lit(f)) for i, f in asked]).cast(
+            "array<struct<folder_idx:int,folder:string>>"
         )
         usable = folders.filter(~F.array_contains("attributes", NOSELECT))
-        return requested.join(usable, ["account", "folder"], "left_anti").select(
-            "account_idx",
-            "account",
-            F.array_position(F.array(*[F.lit(f) for f in self.include] or [F.lit("")]),
-                             F.col("folder")).cast("int").alias("position"),
-            "folder",
-        ).select(
-            "account_idx",
-            "account",
-            (F.col("position") - 1).alias("folder_idx"),
-            "folder",
-            F.lit("error").alias("status"),
-            F.concat(F.lit("cannot open folder "), F.col("folder")).alias("detail"),
+        return (
+            accounts.select("account_idx", "account", F.inline(named))
+            .join(usable, ["account", "folder"], "left_anti")
+            .select(
+                "account_idx",
+                "account",
+                "folder_idx",
+                "folder",
+                F.lit("error").alias("status"),
+                F.concat(F.lit("cannot open folder "), F.col("folder")).alias("detail"),
+            )
         )
 
 
