@@ -160,7 +160,7 @@ def _follow(
     segments: pd.DataFrame, memo: dict, max_n: int, max_bytes: int
 ) -> Iterator[tuple]:
     """Carry the open batch over the segments of one folder, front to end."""
-    n, size, first, sure = 0, 0, 0, True
+    n, size, first = 0, 0, 0
     for row in segments.itertuples(index=False):
         known_ends = memo[row.segment]
         end = known_ends.get((n, size))
@@ -175,7 +175,6 @@ def _follow(
             known = False
             end = next(reversed(known_ends.values()))  # likely: same end from any start
         yield row.segment, n, size, first, known
-        sure = sure and known
         n, size, first = end[0], end[1], first + end[2]
 
 
@@ -259,28 +258,37 @@ def size_batches(
         return pdf[["account", "folder", "uid", "size", "batch_id"]]
 
     shapes = materialise(rows.groupBy(*_SEGMENT).applyInPandas(shape, _SHAPE), "batch-shapes")
-    tried = shapes.select(*[f.split()[0] for f in _PACKED.split(", ")])
-    foreseen = shapes.select(
-        "account", "folder", (F.col("segment") + 1).alias("segment"), F.inline("ends")
-    ).withColumnsRenamed({"n": "start_n", "size": "start_bytes"})
-    if not foreseen.isEmpty():
-        tried = tried.unionByName(try_starts(foreseen, "batch-tries"))
-    while True:
-        # One small row per segment: a folder of 10^9 messages has some 7,000.
-        plans = materialise(
-            shapes.groupBy("account", "folder")
-            .cogroup(tried.groupBy("account", "folder"))
-            .applyInPandas(plan, _PLAN),
-            "batch-plan",
-        )
-        wrong = plans.filter(~F.col("known"))
-        if wrong.isEmpty():
-            break
-        tried = tried.unionByName(
-            try_starts(wrong.select(*_SEGMENT, "start_n", "start_bytes"), "batch-retry")
+
+    def link_segments() -> DataFrame:
+        tried = shapes.select(*[f.split()[0] for f in _PACKED.split(", ")])
+        foreseen = shapes.select(
+            "account", "folder", (F.col("segment") + 1).alias("segment"), F.inline("ends")
+        ).withColumnsRenamed({"n": "start_n", "size": "start_bytes"})
+        if not foreseen.isEmpty():
+            tried = tried.unionByName(try_starts(foreseen, "batch-tries"))
+        while True:
+            # One small row per segment: a folder of 10^9 messages has some 7,000.
+            plans = materialise(
+                shapes.groupBy("account", "folder")
+                .cogroup(tried.groupBy("account", "folder"))
+                .applyInPandas(plan, _PLAN),
+                "batch-plan",
+            )
+            wrong = plans.filter(~F.col("known"))
+            if wrong.isEmpty():
+                return plans
+            tried = tried.unionByName(
+                try_starts(wrong.select(*_SEGMENT, "start_n", "start_bytes"), "batch-retry")
+            )
+
+    if shapes.filter("segment > 0").isEmpty():  # no folder has more than one segment
+        plans = shapes.select(
+            *_SEGMENT, "start_n", "start_bytes", F.lit(0).cast("bigint").alias("first_batch")
         )
+    else:
+        plans = link_segments().drop("known")
     return (
-        rows.join(plans.drop("known"), _SEGMENT)
+        rows.join(plans, _SEGMENT)
         .groupBy(*_SEGMENT)
         .applyInPandas(
             label, "account string, folder string, uid bigint, size bigint, batch_id bigint"
