@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,10 +25,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_its_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, tables, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
     want = tables.execute(entry.oracle_sql()[name]).df()
