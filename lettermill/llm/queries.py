@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -40,3 +41,66 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettermill.llm.tokenfile import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), word_tokenizer(), END_ID)
+
+
+@_query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm.simhash import near_copies, to_hex
+
+    found = near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", to_hex().alias("fingerprint"), "component_id")
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of each labelled document: 2 if good, 0.5 if not; all others weigh 1."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return labels.where("quality is not null").select(
+        "doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+
+
+@_query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm.mixing import mix
+
+    picks = mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return picks.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+STATEMENTS["op8_source_mix"] = r"""
+with sized as (
+  select d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) as size,
+    coalesce(l.weight, 1.0) as weight,
+    (cast('0x' || substr(md5('mix:' || coalesce(cast(d.doc_id as varchar), '')), 1, 13) as bigint) + 0.5)
+      / 4503599627370496.0 as u
+  from documents d left join (
+    select doc_id, case when max(quality) = 1 then 2.0 else 0.5 end as weight
+    from labels where quality is not null group by doc_id) l using (doc_id)),
+sources as (
+  select source, sum(size) as source_size,
+    [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3) + 1] as w
+  from sized group by source),
+shared as (
+  select *, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as total,
+    coalesce(sum(2.0 * source_size) over f, 0) as held, sum(w) over r as open
+  from sources
+  window f as (order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding),
+    r as (order by source_size / w, source nulls last rows between current row and unbounded following)),
+level as (
+  select min(total - held) as room, min(open) as open from (
+    select total, held, open, row_number() over (order by source_size / w, source nulls last) as k
+    from shared where cap >= (total - held) * w / open) where k = 1),
+targets as (
+  select s.source, s.source_size::bigint as source_size,
+    case when l.room is null or s.cap < l.room * s.w / l.open then s.cap else l.room * s.w / l.open end as target
+  from shared s, level l),
+ranked as (
+  select z.doc_id, z.size, t.source_size, t.target,
+    case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs,
+    coalesce(sum(z.size) over (partition by z.source order by -ln(z.u) / z.weight, z.doc_id, z.size
+      rows between unbounded preceding and 1 preceding), 0) as before
+  from sized z join targets t on z.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target::double as target,
+  (size * (epochs + case when before + size / 2.0 <= target - epochs * source_size then 1 else 0 end))::bigint as taken
+from ranked
+"""
