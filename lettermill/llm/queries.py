@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +105,83 @@ select doc_id, size::bigint as size, source_size, target::double as target,
   (size * (epochs + case when before + size / 2.0 <= target - epochs * source_size then 1 else 0 end))::bigint as taken
 from ranked
 """
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), toxicity.fold_out())
+    return toxicity.score(docs, lexicon, toxicity.fold_out())
+
+
+@_query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(~langid.fold_out()))
+    return langid.predict(docs, profiles, langid.fold_out())
+
+
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.learn(docs, table(spark, sf_dir, "labels"), quality.fold_out())
+    return quality.score(docs, trees, quality.fold_out())
+
+
+@_query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm.fingerprint import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm.onebit import build_index, search, usable
+
+    rows = table(spark, sf_dir, "embeddings")
+    queries = usable(rows, "vec_id", "embedding").where(F.col("vec_id") % 20 == 0)
+    return search(build_index(rows), queries)
+
+
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", True), "after": ("integer", False)},
+    "lookup": {"query": ("string", True), "limit": ("number", False), "after": ("integer", True)},
+    "compute": {"query": ("string", True), "limit": ("integer", False)},
+}
+_CALLS = r"""
+select conv_id, turn, concat(cast(conv_id as {S}), '-', cast(turn as {S})) as call_id,
+  case n % 3 when 0 then 'search' when 1 then 'lookup' else 'compute' end as tool,
+  case when n % 11 = 0 then '{"limit": '
+    when n % 7 = 0 then concat('{ "query": 5, "limit": ', cast(n as {S}), ' }')
+    else concat('{"query": "', coalesce(regexp_extract(text, '([A-Za-z]+)', 1), ''), '", "limit": ', cast(n as {S}),
+      ', "after": ', cast(turn as {S}), '}') end as arguments,
+  case when n % 4 = 0 then concat(cast(conv_id as {S}), '-', cast(turn - 2 as {S}))
+    when n % 20 = 5 then concat(cast(conv_id as {S}), '-', cast(turn + 2 as {S})) end as depends
+from (select *, coalesce(length(text), 0) as n from {T} where role = 'assistant') c
+"""
+_RESULTS = """
+select conv_id, turn, concat(cast(conv_id as {S}), '-', cast(turn - 1 as {S})) as call_id, text as content
+from {T} where role <> 'assistant' and turn > 0
+"""
+
+
+@_query
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as a tool call and every later turn as the result of the one before."""
+    from lettermill.llm.chat import link_tool_calls
+
+    talk = table(spark, sf_dir, "conversations")
+    view = f"talk_{uuid.uuid4().hex}"
+    talk.createTempView(view)
+    calls, results = (spark.sql(q.replace("{S}", "string").replace("{T}", view)) for q in (_CALLS, _RESULTS))
+    spark.catalog.dropTempView(view)
+    calls = calls.withColumn("depends", F.when(F.col("depends").isNotNull(), F.array("depends")))
+    linked = link_tool_calls(calls, results, TOOLS)
+    return linked.withColumn("faults", F.array_join("faults", "; "))

@@ -36,23 +36,21 @@ def map_texts(docs: DataFrame, score: Callable[[list[bytes | None]], list], fiel
     """
     ship_package(docs.sparkSession)
     given = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").cast("binary").alias("_text"))
+    names = list(keep)
+    made_fields = [f.split() for f in fields.split(",")]
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text"]
-    schema = ", ".join([*kept, fields])
+    schema = ", ".join([*kept, *(f"_{k} {kind}" for k, (_, kind) in enumerate(made_fields))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for part in parts(texts):
                 made = [pa.array(values) for values in score(texts[part])]
-                held = [batch.column(n).slice(part.start, part.stop - part.start) for n in keep]
-                names = [*keep, *(f"_{k}" for k in range(len(made)))]
-                yield pa.RecordBatch.from_arrays([*held, *made], names)
+                held = [batch.column(n).slice(part.start, part.stop - part.start) for n in names]
+                yield pa.RecordBatch.from_arrays([*held, *made], [*names, *(f"_{k}" for k in range(len(made)))])
 
-    names = [*keep, *(f"_{k}" for k in range(len(fields.split(","))))]
-    inner = ", ".join([*kept, *(f"_{k} {f.split()[1]}" for k, f in enumerate(fields.split(",")))])
-    assert len(names) == len(schema.split(", ")) or kept
-    out = given.mapInArrow(run, inner)
-    return out.select(*keep, *(F.col(f"_{k}").alias(f.split()[0]) for k, f in enumerate(fields.split(","))))
+    made = given.mapInArrow(run, schema)
+    return made.select(*keep, *(F.col(f"_{k}").alias(name) for k, (name, _) in enumerate(made_fields)))
 
 
 def filter_texts(docs: DataFrame, wanted: Callable[[list[bytes | None]], np.ndarray], text: str = "text") -> DataFrame:
@@ -82,8 +80,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, o
     of one id with different labels count as the larger one; texts are not shuffled while
     the ids are small enough to be broadcast.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~out)
+    known = labels.where(~out & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     return docs.join(known, docs[doc_id] == known["_id"]).select(
         F.col("_id").alias("doc_id"), F.col(text).cast("string").alias("text"), "label")
