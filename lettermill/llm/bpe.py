@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.llm.textmap import parts
 from lettermill.llm.wordcache import WordCache
 from lettermill.session import ship_package
 
-_BATCH = 1_000
 _TRIE = 50_000
 # Latin letters, digits and marks that are the same in every normal form; nothing unseen
 _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017f]+")
@@ -265,39 +265,17 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _chunks(batch: list[bytes], size: int = _BATCH) -> Iterator[tuple[int, list[bytes]]]:
-    """Parts of at most ``size`` texts and about 8 MB, with the place of the first."""
-    start, mb = 0, 0
-    for at, text in enumerate(batch):
-        if at > start and (at - start >= size or mb + len(text) > 8e6):
-            yield start, batch[start:at]
-            start, mb = at, 0
-        mb += len(text)
-    if start < len(batch):
-        yield start, batch[start:]
+_KINDS = {"ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-                 decoded: bool = False) -> DataFrame:
-    """Columns ``keep`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit), and
-    ``decoded`` text if asked for.
+def encode_columns(docs: DataFrame, tokenizer: str, out: list[str], text: str = "text",
+                   keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, ``n_tokens`` and those of ``out``: ``ids`` (little-endian unsigned
+    32-bit), ``decoded`` (the text that decoding them gives), and SHA-256 of either.
 
     Every row gives one row, repeated ones too.  A null or empty text has no ids and
     decodes to the empty text; other columns of ``docs`` are not read.
     """
-    return _coded(docs, tokenizer, text, keep, ["ids", "decoded"] if decoded else ["ids"])
-
-
-def encode_digests(docs: DataFrame, tokenizer: str, text: str = "text",
-                   keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """As :func:`encode_texts`, with SHA-256 of the ids and of the decoded text instead of them."""
-    return _coded(docs, tokenizer, text, keep, ["ids_sha256", "decoded_sha256"])
-
-
-_KINDS = {"ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
-
-
-def _coded(docs: DataFrame, tokenizer: str, text: str, keep: tuple[str, ...], out: list[str]) -> DataFrame:
     ship_package(docs.sparkSession)
     given = docs.select(*keep, _bytes(text).alias("_text"))
     kinds = {f.name: f.dataType.simpleString() for f in given.schema}
@@ -307,9 +285,9 @@ def _coded(docs: DataFrame, tokenizer: str, text: str, keep: tuple[str, ...], ou
         coder = codec(tokenizer)
         for batch in batches:
             texts = [t or b"" for t in batch.column("_text").to_pylist()]
-            for start, part in _chunks(texts):
-                coded = coder.encode_batch(part)
-                columns = [batch.column(k).slice(start, len(part)) for k in keep]
+            for part in parts(texts):
+                coded = coder.encode_batch(texts[part])
+                columns = [batch.column(k).slice(part.start, len(coded)) for k in keep]
                 columns.append(pa.array([len(c) // 4 for c in coded], pa.int64()))
                 made = {o: [] for o in out}
                 for ids in coded:
@@ -323,8 +301,14 @@ def _coded(docs: DataFrame, tokenizer: str, text: str, keep: tuple[str, ...], ou
     return given.mapInArrow(run, schema)
 
 
+def encode_digests(docs: DataFrame, tokenizer: str, text: str = "text",
+                   keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """SHA-256 of ids and decoded texts, without these."""
+    return encode_columns(docs, tokenizer, ["ids_sha256", "decoded_sha256"], text, keep)
+
+
 def decode_ids(coded: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the text of ids written by :func:`encode_texts`; null ids give null."""
+    """``keep`` and the text of ids as :func:`encode_columns` gives them; null ids give null."""
     ship_package(coded.sparkSession)
     given = coded.select(*keep, F.col(ids).alias("_ids"))
     kinds = {f.name: f.dataType.simpleString() for f in given.schema}

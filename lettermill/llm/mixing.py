@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.llm.ordering import number_in_order
+from lettermill.llm.textmap import fresh
 from lettermill.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,16 +136,17 @@ def mixed_rows(docs: DataFrame, picks: DataFrame, doc_id: str = "doc_id", text:
     Rows that share id and text are told apart by their number only, since the mix may take
     one of them once more than another.
     """
+    mine, of, body, each, more, nth, copy = fresh(
+        docs.columns, "mine", "of_id", "of_content", "each", "more", "nth", "copy")
     taken = picks.groupBy("doc_id", "content").agg(
-        F.min("copies").alias("_each"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_more")
-    ).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "_each", "_more")
-    taken = taken.where((F.col("_each") > 0) | (F.col("_more") > 0))
-    keyed = docs.withColumn("_mine", F.xxhash64(F.col(text).cast("string")))
-    same = keyed[doc_id].eqNullSafe(taken["_id"]) & (keyed["_mine"] == taken["_content"])
-    nth = F.row_number().over(Window.partitionBy(doc_id, "_mine").orderBy(doc_id))
-    times = (F.col("_each") + (F.col("_nth") <= F.col("_more")).cast("long")).cast("int")
+        F.min("copies").alias(each), (F.sum("copies") - F.min("copies") * F.count("*")).alias(more)
+    ).withColumnsRenamed({"doc_id": of, "content": body}).where((F.col(each) > 0) | (F.col(more) > 0))
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(text).cast("string")))
+    same = keyed[doc_id].eqNullSafe(taken[of]) & (keyed[mine] == taken[body])
+    number = F.row_number().over(Window.partitionBy(doc_id, mine).orderBy(doc_id))
+    times = (F.col(each) + (F.col(nth) <= F.col(more)).cast("long")).cast("int")
     return (
-        keyed.join(taken, same).withColumn("_nth", nth)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
+        keyed.join(taken, same).withColumn(nth, number)
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(0), times)))
         .select(*docs.columns)
     )

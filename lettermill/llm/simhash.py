@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm.components import connected_components
+from lettermill.llm.textmap import fresh
 from lettermill.session import materialise, ship_package
 
 SHINGLE_WORDS = 4
@@ -266,12 +267,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_
     last, and of equal rows one stays.  All columns of ``docs`` are kept as they are."""
     found = near_copies(docs, shingle, max_bits, doc_id, text)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("best")
+    mine, kept_id, kept_content = fresh(docs.columns, "content", "kept_id", "kept_content")
     kept = found.groupBy("root").agg(best).select(
-        F.col("best.doc_id").alias("_kept_id"), F.col("best.content").alias("_kept_content"))
-    keyed = docs.withColumn("_content", F.xxhash64(F.col(text).cast("string")))
-    same = keyed[doc_id].eqNullSafe(kept["_kept_id"]) & (keyed["_content"] == kept["_kept_content"])
-    rows = keyed.join(kept, same)
-    return rows.dropDuplicates([doc_id, "_content"]).select(*docs.columns)
+        F.col("best.doc_id").alias(kept_id), F.col("best.content").alias(kept_content))
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(text).cast("string")))
+    same = keyed[doc_id].eqNullSafe(kept[kept_id]) & (keyed[mine] == kept[kept_content])
+    return keyed.join(kept, same).dropDuplicates([doc_id, mine]).select(*docs.columns)
 
 
 def to_hex(fp: str = "fp"):

@@ -67,6 +67,18 @@ def filter_texts(docs: DataFrame, wanted: Callable[[list[bytes | None]], np.ndar
     return docs.mapInArrow(run, docs.schema)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names like the given ones that are not yet taken, whatever their case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     """Whether the CRC-32 of the id as text falls into the given part; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
@@ -83,5 +95,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, o
     known = labels.where(~out & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.join(known, docs[doc_id] == known["_id"]).select(
-        F.col("_id").alias("doc_id"), F.col(text).cast("string").alias("text"), "label")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return texts.join(known, texts["doc_id"] == known["_id"]).select("doc_id", "text", "label")

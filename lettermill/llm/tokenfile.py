@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lettermill.llm.textmap import parts
 from lettermill.llm.wordcache import WordCache
 from lettermill.session import scratch_path, ship_package
 
@@ -216,9 +217,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         name = f"{number:06d}-{uuid.uuid4().hex}.tok"
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for start in range(0, len(ids), 500):
-                part = [t or b"" for t in texts[start : start + 500]]
-                for i, coded in zip(ids[start:], coder.encode_batch(part)):
+            for part in parts(texts):
+                for i, coded in zip(ids[part], coder.encode_batch([t or b"" for t in texts[part]])):
                     if writer is None:
                         system, root = pafs.FileSystem.from_uri(folder)
                         system.create_dir(root, recursive=True)
