@@ -185,3 +185,56 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls.withColumn("depends", F.when(F.col("depends").isNotNull(), F.array("depends")))
     linked = link_tool_calls(calls, results, TOOLS)
     return linked.withColumn("faults", F.array_join("faults", "; "))
+
+
+STATEMENTS["op10_tool_calls"] = (
+    "with recursive calls as (" + _CALLS + "), results as (" + _RESULTS + r"""),
+nodes as (
+  select c.*, r.turn as answer, d.call_id as dep from calls c
+  left join results r on r.conv_id = c.conv_id and r.call_id = c.call_id
+  left join calls d on d.conv_id = c.conv_id and d.call_id = c.depends),
+keys as (
+  select conv_id, call_id, turn as seq, 0 as hop,
+    case when answer is null or answer <= turn then turn else answer end as end_seq,
+    case when answer is null then 0 when answer > turn then 0 else 1 end as end_hop
+  from nodes where dep is null
+  union all
+  select conv_id, call_id, seq, hop,
+    case when answer is null or answer <= seq then seq else answer end,
+    case when answer is null then hop when answer > seq then 0 else hop + 1 end
+  from (
+    select n.conv_id, n.call_id, n.answer, greatest(n.turn, k.end_seq) as seq,
+      case when n.turn > k.end_seq then 0 else k.end_hop + 1 end as hop
+    from nodes n join keys k on k.conv_id = n.conv_id and k.call_id = n.dep) s),
+checked as (
+  select n.*, k.seq, k.hop,
+    case when position('"after"' in arguments) > 0 then case when tool = 'compute' then 'unexpected after' else '' end
+      when position('"query"' in arguments) > 0 then
+        case when tool = 'lookup' then 'missing after; query is not string' else 'query is not string' end
+      else 'not JSON' end as faults
+  from nodes n left join keys k using (conv_id, call_id)),
+events as (
+  select conv_id, coalesce(seq, turn) as seq, coalesce(hop, 0) as hop, 'call' as kind, call_id, turn,
+    case when seq is null then 'circular' when faults <> '' then 'invalid' when answer is null then 'unanswered'
+      else 'ok' end as status, faults,
+    case when faults = 'not JSON' then '{' else '{"arguments":{' ||
+      case when position('"after"' in arguments) > 0 then '"after":' || turn || ',' else '' end ||
+      '"limit":' || regexp_extract(arguments, '"limit": ([0-9]+)', 1) || ',"query":' ||
+      regexp_extract(arguments, '"query": ("[^"]*"|[0-9]+)', 1) || '},' end ||
+    '"call_id":"' || call_id || '","kind":"call",' ||
+    case when faults = 'not JSON' then '"raw_arguments":' || to_json(arguments)::varchar || ',' else '' end ||
+    '"tool":"' || tool || '"}' as message
+  from checked
+  union all
+  select r.conv_id,
+    case when k.seq is null then r.turn else greatest(r.turn, k.seq) end,
+    case when k.seq is null or r.turn > k.seq then 0 else k.hop + 1 end, 'result', r.call_id, r.turn,
+    case when c.call_id is null then 'orphan' when k.seq is null then 'circular' else 'ok' end, '',
+    '{"call_id":"' || r.call_id || '",' || coalesce('"content":' || to_json(r.content)::varchar || ',', '') ||
+      '"kind":"result"}'
+  from results r left join calls c on c.conv_id = r.conv_id and c.call_id = r.call_id
+  left join keys k on k.conv_id = r.conv_id and k.call_id = r.call_id)
+select conv_id, row_number() over (partition by conv_id order by seq, hop, kind, call_id, turn, message) - 1 as place,
+  kind, call_id, turn, status, faults, message
+from events
+""").replace("{S}", "varchar").replace("{T}", "conversations")
