@@ -113,7 +113,7 @@ class PairRules:
     def follows(self, before: str, token: str) -> bool:
         known = self.known.get((before, token))
         if known is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             known = self.known[before, token] = self._may_follow(before, token)
         return known
