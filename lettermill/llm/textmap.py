@@ -89,11 +89,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, o
     """``doc_id``, ``text`` and ``label`` (0 or 1) of at most ``rows`` labelled documents that are not held out.
 
     The sample follows a hash of the id, so it does not depend on the order of rows.  Rows
-    of one id with different labels count as the larger one; texts are not shuffled while
-    the ids are small enough to be broadcast.
+    of one id with different labels count as the larger one.  The ids are broadcast, so that
+    no text is shuffled.
     """
     known = labels.where(~out & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = F.broadcast(known)  # ``rows`` ids at most
     return texts.join(known, texts["doc_id"] == known["_id"]).select("doc_id", "text", "label")
