@@ -290,7 +290,7 @@ def _delete_method(spark, sf_dir):
 
 @query(f"""with {oc.OUTCOMES_SQL}, {mb.FOLDERS_SQL},
 failing as (select account, min(command_idx*1000 + folder_idx) first from outcomes
-  where status in ('error','conflict') and account in ('acct1','acct3') group by account)
+  where status in ('error','conflict') group by account)
 select account, 2 command_idx, folder,
   coalesce(first < 2*1000 + folder_idx, false) guarded
 from folders left join failing using (account)""")
@@ -299,8 +299,7 @@ def guarded_delete(spark, sf_dir):
     units = mb.folders(spark, sf_dir).filter("folder <> '[Gmail]'").withColumn(
         "command_idx", F.lit(2)
     )
-    outcomes = oc.outcomes(spark, sf_dir).filter("account in ('acct1', 'acct3')")
-    return guard_delete(units, outcomes).select("account", "command_idx", "folder", "guarded")
+    return guard_delete(units, oc.outcomes(spark, sf_dir)).select("account", "command_idx", "folder", "guarded")
 
 
 @query(f"""with {oc.OUTCOMES_SQL}, {mb.FOLDERS_SQL},

@@ -38,7 +38,7 @@ def _hashed(spark, sf_dir):
 
 
 def _box(spark, sf_dir):
-    """The messages that have content, as one mailbox table with inline content."""
+    """All messages as one mailbox table with inline content."""
     messages = mb.mails(spark, sf_dir).drop("account_idx", "folder_idx", "host")
     return Mailbox(mb.accounts(spark, sf_dir), mb.folders(spark, sf_dir), messages)
 
@@ -222,17 +222,28 @@ def _ingest_search_results(spark, sf_dir):
     return rs.ingest_search_results(_captured(found, F.col("line"), "search"))[0]
 
 
-@query(f"""with {mb.MESSAGES_SQL} select distinct account||' "'||folder||'"\\\\' folder,
-  '/' delimiter, case when account_idx=0 then '' else '\\HasChildren,\\Sent' end attributes
-from msgs""".replace("\\\\'", "\\'"), name="ingest_list_response")
+@query(f"""with {mb.MESSAGES_SQL}, names as (select distinct account_idx, account, folder, folder_idx from msgs)
+select account||' "'||folder||'"'||chr(92) folder, '/' delimiter,
+  case when account_idx=0 then '' else chr(92)||'HasChildren,'||chr(92)||'Sent' end attributes, 'ok' status from names
+union all
+select 'nonsense '||folder, '', '', 'error' from names where folder_idx=2
+union all
+select '() "/" {{5}}'||account, '', '', 'error' from names where folder_idx=3""", name="ingest_list_response")
 def _ingest_list_response(spark, sf_dir):
-    """Folder lists with names that need escapes."""
-    names = mb.messages(spark, sf_dir).select("account", "account_idx", "folder").distinct()
+    """Folder lists with names that need escapes, and with lines that cannot be read."""
+    names = mb.messages(spark, sf_dir).select("account", "account_idx", "folder", "folder_idx").distinct()
     escaped = F.concat("account", F.lit(' \\"'), "folder", F.lit('\\"\\\\'))
     attributes = F.when(F.col("account_idx") == 0, "").otherwise("\\HasChildren \\Sent")
     line = F.concat(F.lit("("), attributes, F.lit(') "/" "'), escaped, F.lit('"'))
-    parsed = rs.ingest_list_response(_captured(names, line, "list"))
-    return parsed.select("folder", "delimiter", F.array_join("attributes", ",").alias("attributes"))
+    odd = F.when(F.col("folder_idx") == 2, F.concat(F.lit("nonsense "), "folder")).when(
+        F.col("folder_idx") == 3, F.concat(F.lit('() "/" {5}'), "account"))
+    lines = names.select(F.explode(F.array(line, odd)).alias("value")).where("value is not null")
+    good, bad = rs.ingest_list_response(_captured(lines, F.col("value"), "list"))
+    none = F.lit("")
+    return good.select(
+        "folder", "delimiter", F.array_join("attributes", ",").alias("attributes"), F.lit("ok").alias("status")
+    ).unionByName(bad.select(
+        F.col("line").alias("folder"), none.alias("delimiter"), none.alias("attributes"), "status"))
 
 
 # -- pipelines and recipes --------------------------------------------------------

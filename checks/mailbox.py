@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = dt.datetime(2024, 1, 31)
-# Only the first messages have content; a week before this day divides them.
+# A week before this day the first mail arrived.
 MAIL_NOW = dt.datetime(2024, 1, 9)
 
 _FOLDERS = ["INBOX", "[Gmail]/All Mail", "Receipts", "[Gmail]/Spam", "[Gmail]/Trash"]
@@ -43,7 +43,7 @@ mails as (
   select m.*,
     'From: '||'list-'||d.lang||'@example.com'||chr(13)||chr(10)||chr(13)||chr(10) header,
     replace(d.text,chr(10),chr(13)||chr(10)) body
-  from documents d join msgs m on d.doc_id=m.uid),
+  from msgs m join documents d on d.doc_id=m.uid%(select count(*) from documents)),
 clean as (
   select account_idx, account, folder_idx, folder, uid,
     replace(header,chr(13)||chr(10),chr(10)) header,
@@ -118,19 +118,20 @@ def messages_of(events: DataFrame) -> DataFrame:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that have content, with header and body as text."""
+    """All messages with header and body as text; the documents are dealt out in turn."""
     return mails_of(table(spark, sf_dir, "events"), table(spark, sf_dir, "documents"))
 
 
 def mails_of(events: DataFrame, documents: DataFrame) -> DataFrame:
     docs = documents.select(
-        F.col("doc_id").alias("uid"),
+        F.col("doc_id").alias("_doc"),
         F.concat(
             F.lit("From: list-"), F.col("lang"), F.lit("@example.com\r\n\r\n")
         ).alias("header"),
         F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("body"),
     )
-    return messages_of(events).join(docs, "uid")
+    turn = F.col("uid") % documents.count()
+    return messages_of(events).withColumn("_doc", turn).join(docs, "_doc").drop("_doc")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

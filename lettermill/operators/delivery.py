@@ -52,28 +52,67 @@ def deliver(rows: DataFrame, fn: Callable[[bytes, str], object]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results = []
-            for header, body, digest in zip(batch["header"], batch["body"], batch["msg_hash"]):
-                try:
-                    code = fn(bytes(header) + bytes(body), digest)
-                    ok = code is None or code is True or (code == 0 and code is not False)
-                    results.append((ok, None if ok else f"exit code {code!r}"))
-                except Exception as exc:  # the user's code may fail in any way
-                    results.append((False, f"{type(exc).__name__}: {exc}"))
+            results = [
+                _handed(fn, header, body, digest)
+                for header, body, digest in zip(batch["header"], batch["body"], batch["msg_hash"])
+            ]
             out = batch[MESSAGE_KEY].copy()
             out["ok"] = [ok for ok, _ in results]
             out["detail"] = [detail for _, detail in results]
             yield out
 
-    narrow = rows.select(
-        *MESSAGE_KEY,
-        "msg_hash",
-        F.col("header").cast("binary").alias("header"),
-        F.col("body").cast("binary").alias("body"),
-    )
-    return narrow.mapInPandas(
-        run, "account string, folder string, uid bigint, ok boolean, detail string"
-    )
+    return rows.select(*MESSAGE_KEY, "msg_hash", *_raw()).mapInPandas(run, _RESULT)
+
+
+_RESULT = "account string, folder string, uid bigint, ok boolean, detail string"
+
+
+def _raw() -> list[Column]:
+    return [F.col(part).cast("binary").alias(part) for part in ("header", "body")]
+
+
+def _handed(fn: Callable[[bytes, str], object], header, body, digest) -> tuple[bool, str | None]:
+    try:
+        code = fn(bytes(header) + bytes(body), digest)
+        ok = code is None or code is True or (code == 0 and code is not False)
+        return ok, None if ok else f"exit code {code!r}"
+    except Exception as exc:  # the user's code may fail in any way
+        return False, f"{type(exc).__name__}: {exc}"
+
+
+def deliver_in_turn(rows: DataFrame, fn: Callable[[bytes, str], object], mode: str) -> DataFrame:
+    """As :func:`deliver`, but nothing is handed over after a stop.
+
+    A careful or paranoid delivery may not try a batch before it knows how the one before
+    it went, so the batches of an account are handed over one after another, by one task
+    that holds a few messages at a time.  Accounts go side by side; a stop of the whole run
+    (paranoid) therefore ends the account it happens in, and the others by what is judged
+    afterwards.  ``rows`` has ``account_idx``, ``folder_idx`` and ``batch_id`` besides the
+    content; what is not handed over is not among the results.
+    """
+    ship_package(rows.sparkSession)
+    order = ["account_idx", "account", "folder_idx", "folder", "batch_id", "uid"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, unit, good, bad, ended = None, None, 0, 0, False
+        for batch in batches:
+            results = []
+            for row in batch.itertuples(index=False):
+                now = (row.folder_idx, row.folder, row.batch_id)
+                if row.account != account:
+                    account, unit, good, bad, ended = row.account, now, 0, 0, False
+                elif now != unit:
+                    ended = ended or (bad > 0 and (good == 0 or mode == "paranoid"))
+                    unit, good, bad = now, 0, 0
+                if ended:
+                    continue
+                ok, detail = _handed(fn, row.header, row.body, row.msg_hash)
+                good, bad = good + ok, bad + (not ok)
+                results.append((row.account, row.folder, row.uid, ok, detail))
+            yield pd.DataFrame(results, columns=[*MESSAGE_KEY, "ok", "detail"])
+
+    narrow = rows.select(*order, "msg_hash", *_raw())
+    return narrow.repartition("account").sortWithinPartitions(*order).mapInPandas(run, _RESULT)
 
 
 def batch_summary(deliveries: DataFrame) -> DataFrame:

@@ -144,8 +144,13 @@ class MessageFilter:
             not_before=utc_day(max(newer)) if newer else None,
         )
 
-    def column(self, now: dt.datetime | int = 0, spark: SparkSession | None = None) -> Column:
-        return self.bind(now, spark).column()
+    def column(
+        self, now: dt.datetime | int | None = None, spark: SparkSession | None = None
+    ) -> Column:
+        """The condition on message rows; ``now`` is needed when days are counted back from it."""
+        if now is None and (self.older_than_days or self.newer_than_days):
+            raise ValueError("a filter by age needs to know the present time")
+        return self.bind(0 if now is None else now, spark).column()
 
     @staticmethod
     def _cutoffs(

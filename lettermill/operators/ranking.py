@@ -98,8 +98,7 @@ def duplicate_number(
 
     Content with at most ``hot`` copies is numbered by one window per content.
     There can be no more than rows / ``hot`` contents with more copies than
-    that, which bounds the broadcast of their hashes; they are numbered by
-    blocks.
+    that; they are numbered by blocks.
 
     The rows are read several times, so unless they are ``stored`` already they
     are written out first: their hashes are costly to compute from content.
@@ -118,7 +117,7 @@ def duplicate_number(
         .select("msg_hash")
     )
     order = ["account_idx", "folder_idx", "uid"]
-    few = rows.join(F.broadcast(crowded), "msg_hash", "left_anti").withColumn(
+    few = rows.join(crowded, "msg_hash", "left_anti").withColumn(
         "dup_no",
         (F.row_number().over(Window.partitionBy("msg_hash").orderBy(*order)) - 1).cast("bigint"),
     )
@@ -129,7 +128,7 @@ def duplicate_number(
             .drop("_base")
         )
     many = (
-        rows.join(F.broadcast(crowded), "msg_hash", "left_semi")
+        rows.join(crowded, "msg_hash", "left_semi")
         .withColumn("_account_block", F.expr(f"account_idx div {ACCOUNT_BLOCK}"))
         .withColumn("_uid_block", F.expr(f"uid div {UID_BLOCK}"))
     )

@@ -14,6 +14,7 @@ from lettermill.operators import delivery as dlv
 from lettermill.operators import transitions as tr
 from lettermill.operators.batching import size_batches
 from lettermill.operators.counting import count_by_folder
+from lettermill.operators.delivery import conflicts
 from lettermill.operators.filters import to_ns
 from lettermill.operators.folders import FolderChoice
 from lettermill.operators.ranking import duplicate_number
@@ -36,7 +37,13 @@ from lettermill.sources.archive_table import (
     write_archive_content,
     write_archive_index,
 )
-from lettermill.sources.maildir import add_names, maildir_names, publish_files, write_tmp_files
+from lettermill.sources.maildir import (
+    add_names,
+    discard_files,
+    maildir_names,
+    publish_files,
+    write_tmp_files,
+)
 
 _OUTCOME_COLUMNS = [field.split()[0] for field in OUTCOMES.split(", ")]
 
@@ -81,13 +88,16 @@ def _small_arrow_batches(spark: SparkSession, rows: int = 256):
         spark.conf.set(name, before)
 
 
-def _content_of(
-    box: Mailbox, wanted: DataFrame, condition: Column, stopped: DataFrame | None
-) -> DataFrame:
-    """Key, header and body of the wanted messages that have content."""
+def _content_of(box: Mailbox, wanted: DataFrame, condition: Column, units: DataFrame) -> DataFrame:
+    """Key, header and body of the wanted messages that have content.
+
+    Inline content is read where it lies: what is wanted are the messages of ``condition``
+    in the visited folders that have a size.
+    """
     if box.contents is None:
-        rows = box.messages.filter(condition).select(*MESSAGE_KEY, "header", "body")
-        return rows if stopped is None else attach(rows, stopped, ["account"], "left_anti")
+        rows = box.messages.filter(condition & F.col("size").isNotNull())
+        visited = attach(rows, units.select(*FOLDER_KEY), FOLDER_KEY, "left_semi")
+        return visited.select(*MESSAGE_KEY, "header", "body")
     keys = wanted.select(*MESSAGE_KEY, "origin_folder", "origin_uid")
     return keys.join(box.contents, ["account", "origin_folder", "origin_uid"]).select(
         *MESSAGE_KEY, "header", "body"
@@ -97,23 +107,28 @@ def _content_of(
 def _deliver(
     box: Mailbox,
     selected: DataFrame,
+    batches: DataFrame,
     condition: Column,
+    units: DataFrame,
     command: Fetch,
     cycle_id: int,
     idx: int,
-    stopped: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, ok, detail) of every message whose content was found."""
+    """(key, ok, detail) of every message whose content was found and whose turn came."""
     spark = box.messages.sparkSession
     clean = dlv.clean_content(
-        _content_of(box, selected, condition, stopped).filter(
+        _content_of(box, selected, condition, units).filter(
             F.col("header").isNotNull() & F.col("body").isNotNull()
         )
     )
     target = command.target
     with _small_arrow_batches(spark):
         if isinstance(target, CallTarget):
-            return materialise(dlv.deliver(clean, target.fn), "delivered")
+            if command.mode == "yolo":
+                return materialise(dlv.deliver(clean, target.fn), "delivered")
+            turns = batches.select("account_idx", *MESSAGE_KEY, "folder_idx", "batch_id")
+            in_turn = clean.join(turns, MESSAGE_KEY)
+            return materialise(dlv.deliver_in_turn(in_turn, target.fn, command.mode), "delivered")
         if isinstance(target, TableTarget):
             stored = write_archive_content(clean, target.path, cycle_id, str(idx))
             return stored.select(
@@ -121,7 +136,22 @@ def _deliver(
                 "msg_hash", "length",
             )
         written = materialise(write_tmp_files(clean, target.path, target.host), "tmp-files")
-        placed = _in_order(written.filter("tmp_name is not null"), box)
+        failed = written.filter("tmp_name is null").select(
+            *MESSAGE_KEY, F.lit(False).alias("ok"), "detail"
+        )
+        ready = written.filter("tmp_name is not null")
+        if command.mode != "yolo":
+            # What comes after a stop is not shown.
+            tried = batches.join(
+                written.select(*MESSAGE_KEY, F.col("tmp_name").isNotNull().alias("ok")),
+                MESSAGE_KEY, "left",
+            )
+            judged = dlv.delivery_outcome(tried, command.mode)
+            late = materialise(judged.filter("status = 'not_attempted'").select(*MESSAGE_KEY), "late")
+            discard_files(ready.join(late, MESSAGE_KEY), target.path).write.format("noop").mode(
+                "overwrite").save()
+            ready = ready.join(late, MESSAGE_KEY, "left_anti")
+        placed = _in_order(ready, box)
         named = add_names(
             duplicate_number(placed, maildir_names(spark, target.path), stored=True), target.host
         )
@@ -129,9 +159,6 @@ def _deliver(
         published = materialise(
             publish_files(materialise(named, "names"), target.path), "delivered"
         )
-        failed = written.filter("tmp_name is null").select(
-            *MESSAGE_KEY, F.lit(False).alias("ok"), "detail"
-        )
         return published.unionByName(failed)
 
 
@@ -201,20 +228,18 @@ class _Run:
         extra = [c for c in units.columns if c not in rows.columns or c in FOLDER_KEY]
         return attach(rows, units.select(*extra), FOLDER_KEY, "inner")
 
-    def close(self, command: Command) -> None:
+    def visited(self, units: DataFrame) -> DataFrame:
+        """All messages, with ``_visited`` true for those in the folders of ``units``."""
+        mark = units.select(*FOLDER_KEY, F.lit(True).alias("_visited"))
+        known = attach(self.box.messages, mark, FOLDER_KEY)
+        return known.withColumn("_visited", F.coalesce("_visited", F.lit(False)))
+
+    def close(self, units: DataFrame) -> None:
         """Every visited folder is closed afterwards, dropping deleted messages."""
-        leaving = command.folders.column()
-        messages = self.box.messages
         if self.stopped is not None:
-            flagged = attach(
-                messages.filter("deleted"), self.stopped, ["account"], "left_semi"
-            )
-            kept = messages.filter("not deleted").unionByName(flagged.select(*messages.columns))
-            gone = messages.filter("deleted").filter(~leaving)
-            rest = attach(gone, self.stopped, ["account"], "left_anti")
-            self.set_messages(kept.unionByName(rest.select(*messages.columns)))
-        else:
-            self.set_messages(tr.close_folder(messages, leaving))
+            units = units.join(self.stopped, "account", "left_anti")
+        known = self.visited(units)
+        self.set_messages(known.filter(~(F.col("deleted") & F.col("_visited"))).drop("_visited"))
 
     def set_messages(self, messages: DataFrame) -> None:
         self.box = replace(self.box, messages=messages)
@@ -245,32 +270,33 @@ class _Run:
         elif isinstance(command, Delete):
             self.delete(idx, command, units, condition)
         if not command.dry_run:
-            self.close(command)
+            self.close(units)
 
     def mark(self, idx: int, command: Mark, units: DataFrame, condition: Column) -> None:
         hits = self.visit(self.box.messages.filter(condition), units)
-        done = self.record(hits.withColumn("status", F.lit("marked")), idx, "mark")
-        if self.stopped is None:
-            self.set_messages(tr.mark(self.box.messages, condition, command.how))
-        else:
-            self.set_messages(
-                materialise(tr.mark_by_key(self.box.messages, done, command.how), "messages")
-            )
+        self.record(hits.withColumn("status", F.lit("marked")), idx, "mark")
+        known = self.visited(units)
+        self.set_messages(tr.mark(known, condition & F.col("_visited"), command.how).drop("_visited"))
 
     def fetch(self, idx: int, command: Fetch, units: DataFrame, condition: Column) -> None:
         content = {"header", "body"}
         narrow = [c for c in self.box.messages.columns if c not in content]
         selected = self.visit(self.box.messages.filter(condition).select(*narrow), units)
+        selected, unsized = conflicts(selected, ["size"])
+        self.record(unsized, idx, "fetch")
         batches = materialise(
-            size_batches(selected, command.fetch_number, command.batch_number, command.batch_size),
+            self.visit(
+                size_batches(
+                    selected, command.fetch_number, command.batch_number, command.batch_size
+                ),
+                units,
+            ),
             "batches",
         )
         results = _deliver(
-            self.box, selected, condition, command, self.cycle_id, idx, self.stopped
-        )
-        attempts = materialise(
-            self.visit(batches, units).join(results, MESSAGE_KEY, "left"), "attempts"
+            self.box, selected, batches, condition, units, command, self.cycle_id, idx
         )
+        attempts = materialise(batches.join(results, MESSAGE_KEY, "left"), "attempts")
         marked_as = command.mark_name()
         status = dlv.delivery_outcome(attempts, command.mode, marked_as != "noop")
         status = status.withColumn(

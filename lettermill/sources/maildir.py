@@ -12,13 +12,14 @@ from __future__ import annotations
 import itertools
 import os
 import socket
-import time
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -39,18 +40,24 @@ def make_maildir(path: str) -> str:
 
 def _write_tmp(root: str, raw: list[bytes], host: str) -> list[tuple[str | None, str | None]]:
     """Write messages to ``tmp/`` and sync them; (file name, error) for each."""
-    context = TaskContext.get()
-    attempt = context.taskAttemptId() if context else os.getpid()
-    stamp = f"IAP_{attempt}_{time.time_ns() // 10**6}"
+    stamp = f"IAP_{uuid.uuid4().hex}"
     opened, results = [], []
     for n, data in enumerate(raw):
         name = f"{stamp}_{n}.{host},S={len(data)}.part"
+        path = os.path.join(root, "tmp", name)
+        try:
+            file = open(path, "xb")
+        except OSError as exc:
+            results.append((None, str(exc)))
+            continue
         try:
-            file = open(os.path.join(root, "tmp", name), "xb")
             file.write(data)
             opened.append((len(results), file))
             results.append((name, None))
         except OSError as exc:
+            with suppress(OSError):
+                file.close()
+            _unlink(path)
             results.append((None, str(exc)))
     # One round of syncs after all writes, side by side: the file system can
     # then put many of them into one disk write.
@@ -130,6 +137,22 @@ def write_tmp_files(clean: DataFrame, path: str, host: str | None = None) -> Dat
     )
 
 
+def discard_files(written: DataFrame, path: str) -> DataFrame:
+    """Remove files of the first step that are not to be shown; returns their keys."""
+    ship_package(written.sparkSession)
+    root = os.path.expanduser(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["tmp_name"]:
+                _unlink(os.path.join(root, "tmp", name))
+            yield batch[MESSAGE_KEY]
+
+    return written.filter("tmp_name is not null").select(*MESSAGE_KEY, "tmp_name").mapInPandas(
+        run, "account string, folder string, uid bigint"
+    )
+
+
 def publish_files(named: DataFrame, path: str) -> DataFrame:
     """Second step: link files into ``new/``; key, ``ok`` and ``detail``.
 
@@ -232,36 +255,84 @@ def add_names(rows: DataFrame, host: str | None = None) -> DataFrame:
     )
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """Where a task has listed its files: one line for each, name in ``tmp/`` and final name."""
+
+    listing: str
+
+
 class _MaildirWriter(DataSourceArrowWriter):
-    """Each task writes its messages, syncs them, and then shows them at once."""
+    """Tasks fill ``tmp/`` and list what they wrote; the commit of the job shows the files.
+
+    When a task or a name fails, nothing stays in ``new/`` or ``tmp/``.
+    """
 
     def __init__(self, path: str):
         self.path = path
 
     def write(self, iterator) -> WriterCommitMessage:
         root, host = make_maildir(self.path), socket.gethostname()
-        shown = []
-        for batch in iterator:
-            rows = batch.to_pydict()
-            raw = [bytes(h) + bytes(b) for h, b in zip(rows["header"], rows["body"])]
-            written = _write_tmp(root, raw, host)
-            shown += [(tmp, name, error) for (tmp, error), name in zip(written, rows["name"])]
-        failed = [error for _, _, error in shown if error]
-        if failed:
-            for tmp, _, _ in shown:
-                if tmp:
-                    _unlink(os.path.join(root, "tmp", tmp))
-            raise OSError(f"{len(failed)} messages not written: {failed[0]}")
-        for tmp, name, _ in shown:
-            if os.path.exists(os.path.join(root, "new", name)):
-                # A task that ran before has shown this very content already.
-                _unlink(os.path.join(root, "tmp", tmp))
-                continue
-            error = _publish(root, tmp, name)
-            if error:
-                raise OSError(error)
-        _sync_directory(os.path.join(root, "new"))
-        return WriterCommitMessage()
+        listing = os.path.join(root, "tmp", f"IAP_{uuid.uuid4().hex}.list")
+        try:
+            with open(listing, "x", encoding="utf-8") as out:
+                for batch in iterator:
+                    rows = batch.to_pydict()
+                    raw = [bytes(h) + bytes(b) for h, b in zip(rows["header"], rows["body"])]
+                    written = _write_tmp(root, raw, host)
+                    out.writelines(
+                        f"{tmp}\t{name}\n" for (tmp, _), name in zip(written, rows["name"]) if tmp
+                    )
+                    failed = [error for _, error in written if error]
+                    if failed:
+                        raise OSError(f"{len(failed)} messages not written: {failed[0]}")
+        except BaseException:
+            _drop(root, listing)
+            raise
+        return _Written(listing)
+
+    def commit(self, messages) -> None:
+        """Link name by name; the listings are read as streams."""
+        root = os.path.expanduser(self.path)
+        listings = [m.listing for m in messages if m is not None]
+        shown = os.path.join(root, "tmp", f"IAP_{uuid.uuid4().hex}.shown")
+        try:
+            with open(shown, "x", encoding="utf-8") as done:
+                for tmp, name in itertools.chain.from_iterable(map(_listed, listings)):
+                    error = _publish(root, tmp, name)
+                    if error:
+                        raise OSError(error)
+                    done.write(f"{tmp}\t{name}\n")
+            _sync_directory(os.path.join(root, "new"))
+        except BaseException:
+            for _, name in _listed(shown):
+                _unlink(os.path.join(root, "new", name))
+            self.abort(messages)
+            raise
+        finally:
+            _unlink(shown)
+        for listing in listings:
+            _unlink(listing)
+
+    def abort(self, messages) -> None:
+        root = os.path.expanduser(self.path)
+        for message in messages:
+            if message is not None:
+                _drop(root, message.listing)
+
+
+def _listed(listing: str) -> Iterator[list[str]]:
+    if os.path.exists(listing):
+        with open(listing, encoding="utf-8") as lines:
+            for line in lines:
+                yield line.rstrip("\n").split("\t")
+
+
+def _drop(root: str, listing: str) -> None:
+    """Remove the files of a listing that are still in ``tmp/``, and the listing."""
+    for tmp, _ in _listed(listing):
+        _unlink(os.path.join(root, "tmp", tmp))
+    _unlink(listing)
 
 
 class MaildirDataSource(DataSource):

@@ -61,14 +61,24 @@ def _unquoted(text: Column) -> Column:
     return F.when(text.startswith('"'), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(text)
 
 
-def ingest_list_response(lines: DataFrame) -> DataFrame:
-    """attributes, delimiter and folder from folder list responses."""
-    token = r'("(?:[^"\\]|\\.)*"|[^ "]+)'
+def ingest_list_response(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attributes, delimiter and folder; error rows) from folder list responses.
+
+    A line that is no such response, or whose name follows as a literal (``{5}``), is an
+    error: its folder would be missing from everything that comes after.
+    """
+    token = r'("(?:[^"\\]|\\.)*"|[^ "{][^ "]*)'
     shape = rf"^ *\(([^)]*)\) +{token} +{token} *$"
+    fits = F.coalesce(F.col("line").rlike(shape), F.lit(False))
     attributes = F.trim(F.regexp_extract("line", shape, 1))
-    return lines.filter(F.col("line").rlike(shape)).select(
+    good = lines.filter(fits).select(
         *_context(lines),
         F.filter(F.split(attributes, " +"), lambda a: a != "").alias("attributes"),
         _unquoted(F.regexp_extract("line", shape, 2)).alias("delimiter"),
         _unquoted(F.regexp_extract("line", shape, 3)).alias("folder"),
     )
+    bad = lines.filter(~fits).select(
+        *_context(lines), "line", F.lit("error").alias("status"),
+        F.lit("this line of the folder list cannot be read").alias("detail"),
+    )
+    return good, bad

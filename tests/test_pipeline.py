@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from lettermill.operators.delivery import ABORTED
 from lettermill.operators.filters import MessageFilter
 from lettermill.operators.folders import FolderChoice
 from lettermill.operators.reports import account_counters, change_log, cycle_summary, error_log
-from lettermill.plans.commands import CallTarget, Count, Delete, Fetch, Mark, TableTarget
+from lettermill.plans.commands import CallTarget, Count, Delete, Fetch, MaildirTarget, Mark, TableTarget
 from lettermill.plans.pipeline import CatastrophicFailure, Mailbox, run_pipeline
 from lettermill.sources.archive_table import read_archive_index, read_archive_table
 
@@ -166,3 +168,84 @@ def test_closing_removes_flagged_mail(spark):
         mailbox(spark, rows),
         [Delete(folders=FolderChoice(("Lists",)), method="delete-noexpunge")], NOW)
     assert keys(result.messages) == [("a", "INBOX", 1)]
+
+
+def hidden_folders(spark, rows):
+    """A mailbox with a folder that cannot be opened and one that is not listed."""
+    box = mailbox(spark, rows, names=("INBOX", "Closed"))
+    attributes = F.when(F.col("folder") == "Closed", F.array(F.lit("\\Noselect"))).otherwise(F.col("attributes"))
+    return Mailbox(box.accounts, box.folders.withColumn("attributes", attributes), box.messages)
+
+
+@pytest.mark.parametrize("how", ["mark", "fetch", "delete", "close"])
+def test_only_visited_folders_change(spark, how):
+    """Whatever changes has an outcome, and nothing else is handed over."""
+    rows = [message("a", f, i, deleted=how == "close") for i, f in enumerate(["INBOX", "Closed", "Unlisted"])]
+    box = hidden_folders(spark, rows)
+    command = {
+        "mark": Mark(how="seen", folders=ALL), "fetch": Fetch(target=CallTarget(lambda raw, digest: True, "fn")),
+        "delete": Delete(filter=MessageFilter(seen=False), folders=ALL),
+        "close": Mark(how="flagged", filter=MessageFilter(seen=True), folders=ALL),
+    }[how]
+    result = run_pipeline(box, [command], NOW)
+    untouched = {("a", "Closed", 1), ("a", "Unlisted", 2)}
+    now = {(r.account, r.folder, r.uid): (r.seen, r.deleted) for r in result.messages.collect()}
+    assert all(now[k] == (False, how == "close") for k in untouched)
+    assert {s[:3] for s in statuses(result)} == (set() if how == "close" else {("a", "INBOX", 0)})
+    assert now.get(("a", "INBOX", 0)) == ((True, False) if how in ("mark", "fetch") else None)
+
+
+def stopping(spark, bad):
+    """Four batches of one message in account a, two in b; some are refused."""
+    rows = [message("a", "INBOX", i, body=b"m%d" % i) for i in range(4)]
+    rows += [message("b", "INBOX", 10 + i, body=b"m%d" % (10 + i)) for i in range(2)]
+    return mailbox(spark, rows)
+
+
+def test_careful_function_is_not_called_after_a_stop(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    os.makedirs(log)
+
+    def fn(raw, digest):
+        name = raw.rsplit(b"\n", 1)[-1].decode()
+        open(os.path.join(log, name), "x").close()
+        return name != "m1"
+
+    command = Fetch(target=CallTarget(fn, "fn"), mode="careful", batch_number=1)
+    result = run_pipeline(stopping(spark, "m1"), [command], NOW)
+    called = sorted(os.listdir(log))
+    assert called == ["m0", "m1", "m10", "m11"]
+    got = {(s[2], s[3]) for s in statuses(result) if s[2] is not None}
+    assert got == {(0, "marked"), (1, "failed"), (2, "not_attempted"), (3, "not_attempted"),
+                   (10, "marked"), (11, "marked")}
+
+
+def test_careful_maildir_shows_nothing_after_a_stop(spark, tmp_path, monkeypatch):
+    from lettermill.plans import pipeline
+
+    path = str(tmp_path / "mail")
+    real = pipeline.write_tmp_files
+
+    def failing(clean, where, host=None):
+        """The second message cannot be written."""
+        written = real(clean, where, host)
+        lost = F.col("uid") == 1
+        return written.withColumn("tmp_name", F.when(~lost, F.col("tmp_name"))).withColumn(
+            "detail", F.when(lost, F.lit("disk full")).otherwise(F.col("detail")))
+
+    monkeypatch.setattr(pipeline, "write_tmp_files", failing)
+    command = Fetch(target=MaildirTarget(path, "host"), mode="careful", batch_number=1)
+    result = run_pipeline(stopping(spark, "m1"), [command], NOW)
+    assert len(os.listdir(os.path.join(path, "new"))) == 3  # 0, 10 and 11
+    assert seen(result) == [("a", "INBOX", 0), ("b", "INBOX", 10), ("b", "INBOX", 11)]
+    got = {s[2]: s[3] for s in statuses(result) if s[2] is not None}
+    assert got == {0: "marked", 1: "failed", 2: "not_attempted", 3: "not_attempted", 10: "marked", 11: "marked"}
+
+
+def test_messages_without_size_are_conflicts(spark, tmp_path):
+    rows = [message("a", "INBOX", 1), message("a", "INBOX", 2, size=None), message("b", "INBOX", 3)]
+    result = run_pipeline(
+        mailbox(spark, rows), [Fetch(target=TableTarget(str(tmp_path / "x"))), Delete(folders=ALL)], NOW)
+    assert ("a", "INBOX", 2, "conflict") in statuses(result)
+    assert keys(result.messages) == [("a", "INBOX", 1), ("a", "INBOX", 2)]
+    assert seen(result) == [("a", "INBOX", 1)]

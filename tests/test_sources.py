@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from boxes import mailbox, message
@@ -18,10 +19,13 @@ def lines(spark, *texts):
 
 
 def test_folder_lists(spark):
-    got = rs.ingest_list_response(lines(
+    good, bad = rs.ingest_list_response(lines(
         spark, '(\\Trash \\Nya) "." "All Mail"', '(\\Trash \\Nya) "." "All\\"Mail"',
-        '() "/" INBOX', '(\\A) NIL "back\\\\slash"', "nonsense",
-    )).collect()
+        '() "/" INBOX', '(\\A) NIL "back\\\\slash"', "nonsense", '() "/" {5}', None,
+    ))
+    got = good.collect()
+    assert [(r.line, r.status) for r in bad.collect()] == [
+        ("nonsense", "error"), ('() "/" {5}', "error"), (None, "error")]
     assert [(r.attributes, r.delimiter, r.folder) for r in got] == [
         (["\\Trash", "\\Nya"], ".", "All Mail"), (["\\Trash", "\\Nya"], ".", 'All"Mail'),
         ([], "/", "INBOX"), (["\\A"], "NIL", "back\\slash")]
@@ -107,8 +111,41 @@ def test_maildir_format(spark, tmp_path):
         "account_idx", F.lit(0)).withColumn("folder_idx", F.lit(0))
     named = md.add_names(duplicate_number(clean), "host")
     md.write_maildir(named, path)
-    md.write_maildir(named, path)  # same names: already there
+    with pytest.raises(Exception, match="taken"):
+        md.write_maildir(named, path)
     assert len(files(path)) == 9 and files(path, "tmp") == []
     hashes = md.ingest_maildir(spark, path).select(
         "msg_hash", F.sha2(F.concat("header", "body"), 256).alias("real"))
     assert hashes.filter("msg_hash <> real").count() == 0
+
+
+def test_failed_job_leaves_the_maildir_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "mail")
+    clean = dlv.clean_content(mailbox(spark, [message("a", "INBOX", i) for i in range(20)]).messages)
+    named = clean.withColumn("name", F.concat(F.lit("m"), "uid"))
+    md.make_maildir(path)
+    (tmp_path / "mail" / "new" / "m13").write_text("precious")
+    for rows in (named, named.withColumn("body", F.expr("if(uid = 7, raise_error('lost'), body)"))):
+        with pytest.raises(Exception, match="taken|lost"):
+            md.write_maildir(rows.repartition(4), path)
+        assert files(path) == ["m13"] and files(path, "tmp") == []
+    assert (tmp_path / "mail" / "new" / "m13").read_text() == "precious"
+
+
+def test_failed_write_leaves_no_file(tmp_path, monkeypatch):
+    root = md.make_maildir(str(tmp_path / "mail"))
+    real = open
+
+    class Full:
+        def __init__(self, path, mode):
+            self.file = real(path, mode)
+
+        def write(self, data):
+            raise OSError("no space left")
+
+        def close(self):
+            self.file.close()
+
+    monkeypatch.setattr(md, "open", Full, raising=False)
+    assert md._write_tmp(root, [b"x", b"y"], "host") == [(None, "no space left")] * 2
+    assert files(root, "tmp") == []
