@@ -98,7 +98,8 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: f
     """Boosted trees for labels 0 and 1.  Every level of a tree is grown from one histogram of
     slopes and bends per node, statistic and bin."""
     n, columns = x.shape
-    edges = [np.unique(np.quantile(x[:, c], np.linspace(0, 1, bins + 1)[1:-1])) for c in range(columns)]
+    cuts = np.linspace(0, 1, bins + 1)[1:-1]
+    edges = [np.unique(np.quantile(x[:, c], cuts)) if n else np.empty(0) for c in range(columns)]
     binned = np.stack([np.searchsorted(e, x[:, c], side="left") for c, e in enumerate(edges)], axis=1)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
     start = float(np.log(base / (1 - base)))

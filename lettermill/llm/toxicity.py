@@ -37,7 +37,8 @@ LOOKALIKES = dict(zip("авеёзіїјкмнорстухѕԁԛԝһɡɩαβεη
 DIGITS = dict(zip("0134578@$!|", "oieastbasii"))
 
 _UNSEEN = re.compile("[­​-‏⁠-⁤﻿]")
-_INSIDE = re.compile(r"(?<![^\W_])[\d@$!|]+(?=[^\W\d_]{2})|(?<=[^\W\d_])[\d@$!|]+(?=[^\W\d_])")
+_INSIDE = re.compile(r"(?<=[^\W\d_])[\d@$!|]+(?=[^\W\d_])")
+_BEFORE = re.compile(r"(?<![^\W_])[\d@$!|]+(?=[^\W\d_]{2})")
 _RUN = re.compile(r"[^\W\d_]+")
 _ALIKE = str.maketrans(LOOKALIKES)
 _DIGITS = str.maketrans(DIGITS)
@@ -54,7 +55,8 @@ def fold(chunk: str) -> list[str]:
         if any("a" <= c <= "z" for c in word) or latin.isascii():
             word = latin
     if not word.isalpha():
-        word = _INSIDE.sub(lambda m: m[0].translate(_DIGITS), word)
+        for place in (_INSIDE, _BEFORE):
+            word = place.sub(lambda m: m[0].translate(_DIGITS), word)
     return _RUN.findall(word)
 
 
