@@ -30,7 +30,7 @@ from lettermill.llm.textmap import parts
 from lettermill.llm.wordcache import WordCache
 from lettermill.session import ship_package
 
-_TRIE = 50_000
+_TRIE = 20_000
 # Latin letters, digits and marks that are the same in every normal form; nothing unseen
 _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017f]+")
 
@@ -113,7 +113,7 @@ class PairRules:
     def follows(self, before: str, token: str) -> bool:
         known = self.known.get((before, token))
         if known is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             known = self.known[before, token] = self._may_follow(before, token)
         return known

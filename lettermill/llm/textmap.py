@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from lettermill.session import ship_package
 
-_ROWS = 1_000
-_BYTES = 8e6
+_ROWS = 300
+_BYTES = 2e6
 
 
 def parts(texts: list[bytes | None]) -> Iterator[slice]:
-    """Runs of at most 1,000 texts and about 8 MB; a longer text is a run of its own."""
+    """Runs of at most 300 texts and about 2 MB; a longer text is a run of its own."""
     start, held = 0, 0
     for at, text in enumerate(texts):
         n = len(text or b"")

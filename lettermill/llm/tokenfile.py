@@ -168,7 +168,7 @@ class LibraryCoder:
 
         self._library = Tokenizer.from_file(path)
         self._mark = self._library.encode(self._BETWEEN, add_special_tokens=False).ids
-        self._cache = WordCache(self._encode)
+        self._cache = WordCache(self._encode, limit=400_000)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]

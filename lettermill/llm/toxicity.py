@@ -164,7 +164,7 @@ def _count_patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             words = {w for chunk in set((text or "").split()) for w in fold(chunk)}
             counts[label].update({p for w in words for p in _patterns(w)})
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield out()
     yield out()
 

@@ -13,7 +13,7 @@ class WordCache:
     Words over ``longest`` bytes are computed each time and never kept.
     """
 
-    def __init__(self, fill: Callable[[list], list], limit: int = 150_000, longest: int = 200):
+    def __init__(self, fill: Callable[[list], list], limit: int = 60_000, longest: int = 200):
         self._fill, self._limit, self._longest = fill, limit, longest
         self._new: dict = {}
         self._old: dict = {}
