@@ -24,8 +24,12 @@ from lettermill.session import ship_package
 
 PROFILE = 400
 NONE = "und"
-#: Likeness below which a document counts as being in none of the languages.
+#: Lowest likeness at which a document may count as being in one of the languages; ``learn``
+#: measures the threshold itself, which is higher where languages differ.
 LEAST_LIKENESS = 0.15
+#: The gap lies between these shares of the likenesses to the best other language and to the own one.
+OTHER_BELOW, OWN_BELOW = 0.95, 0.001
+_BINS = 1000
 _PART = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _GAP = ord("_")
@@ -63,11 +67,13 @@ def top_grams(text: str, size: int) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """Ranked n-grams of each language; ``size`` is the length of a full profile."""
+    """Ranked n-grams of each language; ``size`` is the length of a full profile, ``least`` the
+    likeness below which a document is in none of the languages."""
 
     languages: list[str]
     ranked: list[np.ndarray]
     size: int = PROFILE
+    least: float = LEAST_LIKENESS
 
     def __post_init__(self):
         self.grams = np.unique(np.concatenate(self.ranked)) if self.ranked else np.empty(0, np.int64)
@@ -75,22 +81,31 @@ class Profiles:
         for k, ranked in enumerate(self.ranked):
             self.ranks[np.searchsorted(self.grams, ranked), k] = np.arange(len(ranked))
 
-    def guess(self, text: str | None) -> tuple[str, float]:
-        """Language and likeness: one less the share of the largest distance there can be.
+    def likenesses(self, text: str | None) -> np.ndarray:
+        """Likeness to each language: one less the share of the largest distance there can be.
 
-        Equally near languages go by name.  ``und`` with 0 if there is no letter or nothing
-        was learned.
+        Empty if there is no letter or nothing was learned.
         """
         top = top_grams(text or "", self.size)
         if not len(top) or not self.languages:
-            return NONE, 0.0
+            return np.empty(0)
         at = np.searchsorted(self.grams, top)
         at[at == len(self.grams)] = 0
         ranks = np.where((self.grams[at] == top)[:, None], self.ranks[at], -1)
         own = np.arange(len(top))[:, None]
         distance = np.where(ranks < 0, self.size, np.abs(ranks - own)).sum(axis=0)
-        best = int(np.argmin(distance))
-        return self.languages[best], float(1 - distance[best] / (self.size * len(top)))
+        return 1 - distance / (self.size * len(top))
+
+    def guess(self, text: str | None) -> tuple[str, float]:
+        """Nearest language and its likeness; equally near languages go by name.
+
+        ``und`` with 0 if there is no letter or nothing was learned.
+        """
+        found = self.likenesses(text)
+        if not len(found):
+            return NONE, 0.0
+        best = int(np.argmax(found))
+        return self.languages[best], float(found[best])
 
 
 def _count_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +133,51 @@ def _count_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def learn(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str = "lang") -> Profiles:
+def _likeness_counter(profiles: Profiles):
+    """Counts of likenesses to the own and to the best other language, in bins, per task.
+
+    A row nearer to another language than to its own says nothing about either.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, _BINS + 1), np.int64)
+        for batch in batches:
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                found = profiles.likenesses(text)
+                if not len(found) or profiles.languages[best := int(np.argmax(found))] != lang:
+                    continue
+                counts[0, int(found[best] * _BINS)] += 1
+                if len(found) > 1:
+                    counts[1, int(np.delete(found, best).max() * _BINS)] += 1
+        kind, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_pydict({
+            "other": pa.array(kind, pa.int32()), "bin": pa.array(at, pa.int32()), "n": pa.array(counts[kind, at])})
+
+    return run
+
+
+def gap(own: np.ndarray, other: np.ndarray) -> float:
+    """Threshold from counts of likenesses in bins: the middle between nearly all likenesses to
+    the best other language and nearly all to the own one.
+
+    Where they overlap, next to no row of its own language may fall below.  The gap begins at
+    ``LEAST_LIKENESS`` if there is one language only.
+    """
+    if not own.sum():
+        return LEAST_LIKENESS
+    low = int(np.searchsorted(np.cumsum(own), OWN_BELOW * own.sum(), "right")) / _BINS
+    high = LEAST_LIKENESS
+    if other.sum():
+        high = (int(np.searchsorted(np.cumsum(other), OTHER_BELOW * other.sum())) + 1) / _BINS
+    return max(LEAST_LIKENESS, min(low, (low + high) / 2))
+
+
+def learn(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str = "lang",
+          threshold: bool = True) -> Profiles:
     """Profiles of all languages of ``docs``, over all its rows that have a text and a language.
 
-    What comes to the driver is ``size`` numbers for each language.
+    With ``threshold``, the same rows are read again to measure ``least``.  What comes to the
+    driver is ``size`` numbers for each language and the likenesses' counts in bins.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -134,7 +190,14 @@ def learn(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str =
     for row in best.orderBy("lang", "rank").collect():
         profiles.setdefault(row.lang, []).append(row.gram)
     languages = sorted(profiles)
-    return Profiles(languages, [np.array(profiles[k], np.int64) for k in languages], size)
+    found = Profiles(languages, [np.array(profiles[k], np.int64) for k in languages], size)
+    if threshold and languages:
+        counts = np.zeros((2, _BINS + 1), np.int64)
+        binned = rows.mapInArrow(_likeness_counter(found), "other int, bin int, n long")
+        for row in binned.groupBy("other", "bin").agg(F.sum("n").alias("n")).collect():
+            counts[row.other, row.bin] = row.n
+        found.least = gap(*counts)
+    return found
 
 
 def _guesses(profiles: Profiles, texts: list[bytes | None]) -> list[tuple[str, float]]:
@@ -147,11 +210,13 @@ def predict(docs: DataFrame, profiles: Profiles, held, doc_id: str = "doc_id", t
                      "lang_pred string, score double", {"doc_id": F.col(doc_id), "held_out": held}, text)
 
 
-def known_rows(docs: DataFrame, profiles: Profiles, least: float = LEAST_LIKENESS, text: str = "text") -> DataFrame:
+def known_rows(docs: DataFrame, profiles: Profiles, least: float | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in one of the languages: not ``und``, and not too far from all profiles.
 
-    If nothing was learned, every text with a letter stays.
+    ``least`` is that of the profiles if not given.  If nothing was learned, every text with
+    a letter stays.
     """
+    least = profiles.least if least is None else least
     if not profiles.languages:
         return filter_texts(docs, lambda texts: [
             bool(t) and _LETTERS.search(t.decode("utf-8", "replace")) is not None for t in texts], text)

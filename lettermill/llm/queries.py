@@ -121,7 +121,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettermill.llm import langid
 
     docs = table(spark, sf_dir, "documents")
-    profiles = langid.learn(docs.where(~langid.fold_out()))
+    profiles = langid.learn(docs.where(~langid.fold_out()), threshold=False)
     return langid.predict(docs, profiles, langid.fold_out())
 
 
