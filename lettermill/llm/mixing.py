@@ -130,20 +130,22 @@ def mix(docs: DataFrame, weight: DataFrame | None = None, source_weights: tuple[
     return take(rows, targets)
 
 
-def mixed_rows(docs: DataFrame, picks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_rows(docs: DataFrame, picks: DataFrame, doc_id: str = "doc_id", text: str = "text",
+               source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    Rows that share id and text are told apart by their number only, since the mix may take
-    one of them once more than another.
+    Rows that share id, text and source are told apart by their number only, since the mix may
+    take one of them once more than another.
     """
-    mine, of, body, each, more, nth, copy = fresh(
-        docs.columns, "mine", "of_id", "of_content", "each", "more", "nth", "copy")
-    taken = picks.groupBy("doc_id", "content").agg(
+    mine, of, body, origin, each, more, nth, copy = fresh(
+        docs.columns, "mine", "of_id", "of_content", "of_source", "each", "more", "nth", "copy")
+    taken = picks.groupBy("doc_id", "content", "source").agg(
         F.min("copies").alias(each), (F.sum("copies") - F.min("copies") * F.count("*")).alias(more)
-    ).withColumnsRenamed({"doc_id": of, "content": body}).where((F.col(each) > 0) | (F.col(more) > 0))
+    ).withColumnsRenamed({"doc_id": of, "content": body, "source": origin}).where((F.col(each) > 0) | (F.col(more) > 0))
     keyed = docs.withColumn(mine, F.xxhash64(F.col(text).cast("string")))
     same = keyed[doc_id].eqNullSafe(taken[of]) & (keyed[mine] == taken[body])
-    number = F.row_number().over(Window.partitionBy(doc_id, mine).orderBy(doc_id))
+    same = same & keyed[source].cast("string").eqNullSafe(taken[origin])
+    number = F.row_number().over(Window.partitionBy(doc_id, mine, origin).orderBy(doc_id))
     times = (F.col(each) + (F.col(nth) <= F.col(more)).cast("long")).cast("int")
     return (
         keyed.join(taken, same).withColumn(nth, number)
