@@ -238,3 +238,51 @@ select conv_id, row_number() over (partition by conv_id order by seq, hop, kind,
   kind, call_id, turn, status, faults, message
 from events
 """).replace("{S}", "varchar").replace("{T}", "conversations")
+
+
+CENTROIDS, ROUNDS, DIM, SCALE, SEED = 16, 3, 64, 64, 1
+
+
+@_query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm import centroids
+
+    found, means = centroids.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, DIM, SCALE,
+                                     centroids.hashed_start(SEED))
+    return centroids.with_inertia(found, means)
+
+
+def _lloyd_sql() -> str:
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select vec_id, list_min(list_transform(c.cs, lambda y: {{'d': list_sum(list_transform(list_zip(x, y.x),
+    lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, 'c': y.cluster}})) as best, x
+  from vecs, (select list({{'cluster': cluster, 'x': x}}) as cs from c{r}) c)""")
+        if r < ROUNDS:
+            steps.append(f"""
+s{r} as (
+  select best.c as cluster, k, sum(x[k])::bigint as total, count(*) as n
+  from (select best, x, unnest(range(1, {DIM + 1})) as k from a{r}) group by all),
+c{r + 1} as materialized (
+  select c.cluster, coalesce(m.x, c.x) as x from c{r} c left join (
+    select cluster, list(((total - ((total % n) + n) % n) // n)::bigint order by k) as x from s{r} group by cluster) m
+    using (cluster))""")
+    return f"""
+with vecs as materialized (
+  select vec_id, list_transform(embedding, lambda v: floor({SCALE} * v::double)::bigint) as x
+  from embeddings
+  where len(embedding) = {DIM} and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = {DIM}),
+c0 as materialized (
+  select (row_number() over (order by h, vec_id, x) - 1)::integer as cluster, x from (
+    select *, sha256('{SEED}:' || vec_id) as h from vecs where vec_id is not null
+    order by h, vec_id, x limit {CENTROIDS})),""" + ",".join(steps) + f"""
+select vec_id, best.c as cluster, best.d as distance,
+  (sum(best.d) over (partition by best.c))::bigint as cluster_inertia, (sum(best.d) over ())::bigint as inertia,
+  sha256(array_to_string(m.x, ',')) as centroid_sha256
+from a{ROUNDS} join c{ROUNDS} m on m.cluster = best.c
+"""
+
+
+STATEMENTS["op11_centroid_clusters"] = _lloyd_sql()
