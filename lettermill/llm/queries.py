@@ -286,3 +286,10 @@ from a{ROUNDS} join c{ROUNDS} m on m.cluster = best.c
 
 
 STATEMENTS["op11_centroid_clusters"] = _lloyd_sql()
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettermill.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), every=97, shortest=5, least=3)
