@@ -293,3 +293,29 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettermill.llm.variants import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"), every=97, shortest=5, least=3)
+
+
+@_query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages count as captured in the order of their ids, a second apart."""
+    from lettermill.llm.warc import round_trip
+
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("page_id"), F.lit(31_536_000)))
+    return round_trip(table(spark, sf_dir, "pages"), captured).drop("url")
+
+
+STATEMENTS["op13_warc"] = """
+with hashed as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, coalesce(html, '') as html, sha1(coalesce(html, '')) as h
+  from pages),
+ranked as (
+  select *, row_number() over w as nth, first_value(page_id) over w as first_id
+  from hashed window w as (partition by html order by page_id nulls last))
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, ((i // 4) * 5 + 1)::integer, 5))::integer >> (15 - 5 * (i % 4))::integer) & 31) + 1)::integer, 1)), '')
+    as payload_digest,
+  case when nth = 1 then 'response' else 'revisit' end as record_type,
+  case when nth > 1 then first_id end as refers_to
+from ranked
+"""
