@@ -2,13 +2,17 @@
 
 The encoding of a text is the encodings of its words one after another.  Words share
 prefixes, and for byte pair encoding the last token of a prefix does not depend on what
-follows: it is the one token that ends the prefix and may follow the last token of what
-stands before it.  New words go into a trie; one depth-first walk finds the last token of
-every node from those of its ancestors, so a shared prefix is worked out once, and a
-word's encoding is read backwards from its node.
+follows: it is the longest token that ends the prefix and may follow the last token of what
+stands before it.  New words go into a trie in sorted order, so the walk goes through it depth
+first; it finds the last token of every new node from those of its ancestors.  A shared prefix
+is worked out once, and a word's encoding is read backwards from its node.
 
-No text is shuffled: texts are encoded where they are read.  Python workers keep a bounded
-cache of encoded words.
+Each node also holds its state in an automaton of the vocabulary, which names the tokens that
+end there: no other beginnings are tried.  The trie is kept from batch to batch, and its
+oldest branches (words with the same first two symbols) are dropped when it grows too large.
+
+No text is shuffled: texts are encoded where they are read.  Python workers keep the trie and a
+bounded cache of what stands between white space.
 """
 
 from __future__ import annotations
@@ -22,15 +26,22 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.textmap import parts
+from lettermill.llm.textmap import text_parts
 from lettermill.llm.wordcache import WordCache
 from lettermill.session import ship_package
 
-_TRIE = 20_000
+_NODES = 400_000
+_LONGEST = 48
+_PAIRS = 300_000
+_PLAIN_CODES = 512
+_SIGNS = b".,;:!?"
+# the end of a split pattern: runs of letters, single digits, runs of other signs
+_LETTERS_ALONE = "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Latin letters, digits and marks that are the same in every normal form; nothing unseen
 _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017f]+")
 
@@ -47,10 +58,8 @@ class PairRules:
         self.ids, self.end = vocabulary, end
         self.tokens = {i: t for t, i in vocabulary.items()}
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(merges)}
-        self.longest = max(map(len, vocabulary), default=0)
         self._made = {a + b: (a, b) for a, b in self.rank}
         self._edges: dict[tuple[str, bool], list[tuple[str, int]]] = {}
-        self.known: dict[tuple[str, str], bool] = {}
         of = {t: self.rank[p] for t, p in self._made.items()}
         self.ordered = len(of) == len(self.rank) and all(
             of.get(a, -1) < r and of.get(b, -1) < r for (a, b), r in self.rank.items())
@@ -92,7 +101,7 @@ class PairRules:
             self._edges[token, right] = known
         return known
 
-    def _may_follow(self, before: str, token: str) -> bool:
+    def follows(self, before: str, token: str) -> bool:
         if not self.ordered:
             return self.merge(self.symbols(before) + self.symbols(token)) == [before, token]
         left, right, rank = self._edge(before, True), self._edge(token, False), self.rank
@@ -110,59 +119,165 @@ class PairRules:
             else:
                 j += 1
 
-    def follows(self, before: str, token: str) -> bool:
-        known = self.known.get((before, token))
-        if known is None:
-            if len(self.known) > 150_000:
-                self.known.clear()
-            known = self.known[before, token] = self._may_follow(before, token)
-        return known
 
 
-def encode_words(words: list[list[str]], rules: PairRules) -> list[list[int]]:
-    """Token ids of each word, given as symbols; symbols outside the vocabulary are dropped."""
-    ids, usable, known, follows = rules.ids, rules.usable, rules.known, rules.follows
-    root: dict = {}
-    for n, word in enumerate(words):
-        node = root
-        for symbol in word:
-            if symbol in ids:
-                below = node.get(symbol)
-                if below is None:
-                    below = node[symbol] = {}
-                node = below
-        node.setdefault(None, []).append(n)  # words that end here
-
-    out: list[list[int]] = [[] for _ in words]
-    last: list[str] = [""]  # last token of each prefix on the way to the node
-    took: list[int] = [0]  # how many symbols that token spans
-    todo: list = [(root, "", 0)]
-    while todo:
-        node, prefix, depth = todo.pop()
-        if depth:
-            del last[depth:], took[depth:]
-            for start in range(max(0, depth - rules.longest), depth):
-                token = prefix[start:]
-                if token in usable:
-                    if start:
-                        fits = known.get((last[start], token))
-                        if not (follows(last[start], token) if fits is None else fits):
-                            continue
-                    last.append(token)
-                    took.append(depth - start)
-                    break
-        for child, below in node.items():
-            if child is not None:
-                todo.append((below, prefix + child, depth + 1))
+class Endings:
+    """An automaton over the symbols of all tokens: which tokens a run of symbols ends with."""
+
+    def __init__(self, rules: PairRules):
+        symbols = {t: rules.symbols(t) for t in rules.usable}
+        alphabet = sorted({s for given in symbols.values() for s in given if s in rules.ids})
+        self.codes = {s: k for k, s in enumerate(alphabet)}
+        self.width = max(len(self.codes), 1)
+        self._next: dict[int, int] = {}
+        parent, code, depth, own = [0], [0], [0], [()]
+        for token, given in symbols.items():
+            state = 0
+            for c in map(self.codes.get, given):
+                if c is None:
+                    break  # such a symbol is never given
+                key = state * self.width + c
+                state = self._next.get(key)
+                if state is None:
+                    state = self._next[key] = len(parent)
+                    parent.append(key // self.width)
+                    code.append(c)
+                    depth.append(depth[parent[-1]] + 1)
+                    own.append(())
+            else:
+                own[state] = ((len(given), rules.ids[token]),)
+        #: (number of symbols, token) of the tokens that end in a state, longest first
+        self.tokens: list[tuple[tuple[int, int], ...]] = own
+        self._back = array("i", [0]) * len(parent)
+        for state in sorted(range(1, len(parent)), key=depth.__getitem__):
+            if parent[state]:
+                self._back[state] = self.step(self._back[parent[state]], code[state])
+            shorter = own[self._back[state]]
+            own[state] = own[state] + shorter if own[state] else shorter
+
+    def step(self, state: int, code: int) -> int:
+        while True:
+            after = self._next.get(state * self.width + code)
+            if after is not None:
+                return after
+            if not state:
+                return 0
+            state = self._back[state]
+
+
+class PrefixTrie:
+    """Encodes words; see the head of this module."""
+
+    def __init__(self, rules: PairRules, most_nodes: int = _NODES):
+        self._rules, self._most = rules, most_nodes
+        self._endings = Endings(rules)
+        self._fits: dict[int, bool] = {}
+        self._many = max(rules.ids.values(), default=0) + 1
+        self._branches: dict[int, tuple] = {}
+        self._letters, self._ends = self._tables()
+        self.nodes = 0
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of characters below 512 inside a word and at its end; -1 where there is none."""
+        known, end = self._endings.codes, self._rules.end
+        return tuple(np.array([known.get(chr(c) + mark, -1) for c in range(_PLAIN_CODES)], np.int32)
+                     for mark in ("", end))
+
+    def _branch(self) -> tuple:
+        """Children, last token, how many symbols it spans, and state of each node; node 0 is empty."""
+        return {}, array("I", [0]), array("I", [0]), array("I", [0])
+
+    def encode(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Token ids of distinct words as little-endian unsigned 32-bit integers; symbols outside
+        the vocabulary are dropped, and words of many symbols are not kept."""
+        words, out = sorted(words), {}
+        plain = [w for w in words if 1 < len(w) <= _LONGEST and ord(max(w)) < _PLAIN_CODES]
+        if plain:
+            self._walk_sorted(plain, out)
+        if len(out) < len(words):
+            end, known = self._rules.end, self._endings.codes
+            for word in words:
+                if word not in out:
+                    symbols = [*word[:-1], word[-1] + end] if word else []
+                    out[word] = self._walk(self._branch(), [known[x] for x in symbols if x in known])
+        return out
+
+    def _walk_sorted(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Depth first: what a word shares with the one before it is not walked again."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(lengths.max())
+        letters = np.array(words, f"U{wide}").view(np.uint32).reshape(len(words), wide)
+        codes = self._letters[letters]
+        codes[np.arange(len(words)), lengths - 1] = self._ends[letters[np.arange(len(words)), lengths - 1]]
+        inside = np.arange(wide) < lengths[:, None]
+        strange = ((codes < 0) & inside).any(axis=1)
+        codes[~inside] = -2
+        same = np.zeros(len(words), np.int64)
+        if len(words) > 1:
+            equal = codes[1:] == codes[:-1]
+            same[1:] = np.where(equal.all(axis=1), wide, equal.argmin(axis=1))
+        width, path, branch, key = self._endings.width, [0], None, None
+        for word, row, n, shared, skip in zip(words, codes.tolist(), lengths.tolist(), same.tolist(), strange.tolist()):
+            if skip:
+                path, key = [0], None
                 continue
-            back, at = [], depth
-            while at:
-                back.append(ids[last[at]])
-                at -= took[at]
-            back.reverse()
-            for n in below:
-                out[n] = back
-    return out
+            now = row[0] * width + row[1]
+            if now != key:
+                key, path = now, [0]
+                branch = self._branches.get(key)
+                if branch is None:
+                    self._make_room()
+                    branch = self._branches[key] = self._branch()
+            else:
+                del path[min(shared, n) + 1 :]
+            before = len(branch[1])
+            out[word] = self._walk(branch, row[:n], path)
+            self.nodes += len(branch[1]) - before
+
+    def _make_room(self) -> None:
+        while self.nodes > self._most:
+            oldest = next(iter(self._branches))
+            self.nodes -= len(self._branches.pop(oldest)[1]) - 1
+
+    def _walk(self, branch: tuple, codes: list[int], path: list[int] | None = None) -> bytes:
+        """Ids of a word, of whose nodes ``path`` has the first ones; adds the others to it."""
+        children, last, span, state = branch
+        path = [0] if path is None else path
+        width, node, depth = self._endings.width, path[-1], len(path) - 1
+        for code in codes[depth:]:
+            depth += 1
+            key = node * width + code
+            below = children.get(key)
+            if below is None:
+                ending = self._endings.step(state[node], code)
+                for length, token in self._endings.tokens[ending]:
+                    if length == depth or self._follows(last[path[depth - length]], token):
+                        break
+                else:
+                    raise ValueError(f"no token can end {codes[:depth]}")
+                below = children[key] = len(last)
+                last.append(token)
+                span.append(length)
+                state.append(ending)
+            node = below
+            path.append(node)
+        back = array("I")
+        while depth:
+            node = path[depth]
+            back.append(last[node])
+            depth -= span[node]
+        back.reverse()
+        return back.tobytes()
+
+    def _follows(self, before: int, token: int) -> bool:
+        key = before * self._many + token
+        fits = self._fits.get(key)
+        if fits is None:
+            if len(self._fits) > _PAIRS:
+                self._fits.clear()
+            names = self._rules.tokens
+            fits = self._fits[key] = self._rules.follows(names[before], names[token])
+        return fits
 
 
 class Codec:
@@ -188,16 +303,18 @@ class Codec:
         marks = sorted(self._special, key=len, reverse=True)
         self._marks = re.compile(f"({'|'.join(map(re.escape, marks))})") if marks else None
         self._split = _plain_split(spec)
+        # letters, and letters before one sign, are split in the same way whatever they are
+        self._alone = self._split is not None and self._split.pattern.endswith(_LETTERS_ALONE) and all(
+            a.startswith("'") for a in self._split.pattern.removesuffix(_LETTERS_ALONE).split("|")) and not any(
+            re.fullmatch("[A-Za-z]+[.,;:!?]?", m) for m in marks)
         self._letters = _byte_letters()
-        self._words = WordCache(self._encode_words)
         self._cache = WordCache(self._encode_chunks)
+        self._trie: PrefixTrie | None = None
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        end, out = self._rules.end, []
-        for start in range(0, len(words), _TRIE):  # bounds the trie
-            part = [[*word[:-1], word[-1] + end] for word in words[start : start + _TRIE]]
-            out += [array("I", ids).tobytes() for ids in encode_words(part, self._rules)]
-        return out
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        if self._trie is None:
+            self._trie = PrefixTrie(self._rules)
+        return self._trie.encode(words)
 
     def _pieces(self, text: str) -> list[str]:
         """Words of a text without special marks, in the letters that stand for bytes."""
@@ -211,6 +328,12 @@ class Codec:
         """Ids as little-endian bytes of texts without white space."""
         plan: list[list] = []
         for chunk in chunks:
+            if self._alone and chunk.isalpha():  # of bytes: ASCII letters
+                plan.append([chunk.lower().decode()])
+                continue
+            if self._alone and chunk[-1] in _SIGNS and chunk[:-1].isalpha():
+                plan.append([chunk[:-1].lower().decode(), chr(chunk[-1])])
+                continue
             text = chunk.decode("utf-8", "replace")
             parts: list = []
             for piece in self._marks.split(text) if self._marks else [text]:
@@ -219,7 +342,7 @@ class Codec:
                 elif piece:
                     parts += self._pieces(piece)
             plan.append(parts)
-        known = self._words.lookup(w for parts in plan for w in parts if isinstance(w, str))
+        known = self._encode_words({p for parts in plan for p in parts if isinstance(p, str)})
         return [b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts])
                 for parts in plan]
 
@@ -284,10 +407,9 @@ def encode_columns(docs: DataFrame, tokenizer: str, out: list[str], text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("_text").to_pylist()]
-            for part in parts(texts):
-                coded = coder.encode_batch(texts[part])
-                columns = [batch.column(k).slice(part.start, len(coded)) for k in keep]
+            for start, texts in text_parts(batch.column("_text")):
+                coded = coder.encode_batch([t or b"" for t in texts])
+                columns = [batch.column(k).slice(start, len(coded)) for k in keep]
                 columns.append(pa.array([len(c) // 4 for c in coded], pa.int64()))
                 made = {o: [] for o in out}
                 for ids in coded:

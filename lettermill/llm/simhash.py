@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm.components import connected_components
-from lettermill.llm.textmap import fresh
+from lettermill.llm.textmap import fresh, text_parts
 from lettermill.session import materialise, ship_package
 
 SHINGLE_WORDS = 4
@@ -91,7 +91,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, doc_id: str = "d
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            found = np.array([fingerprint(t, shingle) for _, texts in text_parts(batch.column("text")) for t in texts],
+                             np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("content"), pa.array(found.view(np.int64))],
                 ["doc_id", "content", "fp"])

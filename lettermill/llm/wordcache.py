@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterable
 class WordCache:
     """Maps words to values; ``fill`` computes the values of many new words at once.
 
-    Two generations of at most ``limit`` words each bound the memory.  A word that is
-    found only in the older generation moves to the newer one, so frequent words stay.
-    Words over ``longest`` bytes are computed each time and never kept.
+    Two generations of at most ``limit`` words each bound the memory (about 200 bytes a word).
+    A word that is found only in the older generation moves to the newer one, so frequent
+    words stay.  Words over ``longest`` bytes are computed each time and never kept.
     """
 
-    def __init__(self, fill: Callable[[list], list], limit: int = 60_000, longest: int = 200):
+    def __init__(self, fill: Callable[[list], list], limit: int = 300_000, longest: int = 200):
         self._fill, self._limit, self._longest = fill, limit, longest
         self._new: dict = {}
         self._old: dict = {}

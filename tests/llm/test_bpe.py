@@ -8,7 +8,7 @@ import pytest
 from tables import no_docs, odd_docs
 from tokenizers import Tokenizer
 
-from lettermill.llm.bpe import PairRules, codec, decode_ids, encode_columns, encode_words
+from lettermill.llm.bpe import PairRules, PrefixTrie, codec, decode_ids, encode_columns
 from lettermill.llm.tokenfile import (
     TokenFileReader,
     TokenFileWriter,
@@ -52,8 +52,15 @@ def test_trie_is_the_merge_order():
     vocabulary = {t: n for n, t in enumerate([*"abc", *(x + y for x, y in merges)])}
     rules = PairRules(vocabulary, merges, "")
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
-    got = encode_words([list(w) for w in words], rules)
-    assert got == [[vocabulary[p] for p in rules.merge(list(w))] for w in words]
+    words += ["abcab" * 30, "abdcé", "d", "", "c"]
+    for most in (10**6, 20):  # with and without dropping branches
+        trie = PrefixTrie(rules, most)
+        for part in (words[::2], words[1::2], words):
+            got = trie.encode(set(part))
+            for w in set(part):
+                known = [c for c in w if c in vocabulary]
+                assert list(memoryview(got[w]).cast("I")) == [vocabulary[p] for p in rules.merge(known)], w
+    assert trie.nodes <= 20 + 16 * 48 and len(trie._branches) < 9
 
 
 def test_rules_for_merges_out_of_order():
