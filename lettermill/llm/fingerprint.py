@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettermill.llm.textmap import whole_ids
+
 SHINGLE_WORDS = 5
 BINS = 128
 BITS = 4
@@ -133,11 +135,12 @@ def with_next(docs: DataFrame, columns: dict[str, Column], doc_id: str = "doc_id
     """``doc_id``, ``text`` (null as empty), ``columns``, and ``next_`` of these: of the row that
     follows in descending ``doc_id`` order, nulls last; the first one follows the last.
 
-    Rows of one id are ordered by a hash of their text.  Ids are cut into buckets of about
+    Ids are whole numbers; other types raise ``TypeError``.  Rows of one id are ordered by a
+    hash of their text.  Ids are cut into buckets of about
     equal numbers of rows, so the texts are shuffled once; the first row of each bucket, the
     only one that another bucket asks for, is read again.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+    rows = docs.select(whole_ids(docs, doc_id).alias("doc_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = rows.agg(F.count("doc_id")).first()[0]
     buckets = min(MOST_BUCKETS, n // bucket_rows)

@@ -19,17 +19,19 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.textmap import parts
+from lettermill.llm.bpe import Codec
+from lettermill.llm.folders import open_folder
+from lettermill.llm.textmap import text_parts, whole_ids
 from lettermill.llm.wordcache import WordCache
 from lettermill.session import scratch_path, ship_package
 
@@ -154,39 +156,19 @@ class TokenFileReader:
             start, n = start + len(piece), n - len(piece)
 
 
-class LibraryCoder:
-    """The tokenizers library, asked once per distinct word.
+class LibraryCoder(Codec):
+    """The tokenizers library, asked once per distinct word while the word is remembered."""
 
-    New words go to the library in one text, with a control character between them, whose
-    own id then shows where each word ends.
-    """
+    def __init__(self, path: str):
+        super().__init__(path)
+        self._model = self._library.model
+        self._known = WordCache(lambda words: list(map(self._ask, words)), limit=200_000)
 
-    _BETWEEN = "\x01"
+    def _ask(self, word: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._library = Tokenizer.from_file(path)
-        self._mark = self._library.encode(self._BETWEEN, add_special_tokens=False).ids
-        self._cache = WordCache(self._encode, limit=400_000)
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        if len(self._mark) == 1:
-            joined = f" {self._BETWEEN} ".join(texts)
-            ids = np.array(self._library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self._mark[0]).tolist()
-            if len(ends) == len(texts) - 1:
-                raw, starts = ids.tobytes(), [0, *(4 * e + 4 for e in ends)]
-                return [raw[a : 4 * b] for a, b in zip(starts, [*ends, len(ids)])]
-        # no mark of its own, or one of the words holds it
-        coded = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self._cache.lookup(w for words in split for w in words)
-        return [b"".join([known[w] for w in words]) for words in split]
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        return self._known.lookup(words)
 
 
 @lru_cache(maxsize=4)
@@ -200,11 +182,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     The texts are dealt out by ranges of ``doc_id``; rows of one ``doc_id`` are ordered by a
     hash of their text, so that even one id with very many rows is divided.  Null ids come
-    first.  A null text counts as empty; ``end_id`` follows each document unless it is None.
+    first; ids that are not whole numbers raise ``TypeError``.  A null text counts as empty; ``end_id`` follows each document unless it is None.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    rows = docs.select(whole_ids(docs, doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
@@ -216,11 +198,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         number = TaskContext.get().partitionId()
         name = f"{number:06d}-{uuid.uuid4().hex}.tok"
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for part in parts(texts):
-                for i, coded in zip(ids[part], coder.encode_batch([t or b"" for t in texts[part]])):
+            ids = batch.column("doc_id").to_pylist()
+            for start, texts in text_parts(batch.column("text")):
+                for i, coded in zip(ids[start:], coder.encode_batch([t or b"" for t in texts])):
                     if writer is None:
-                        system, root = pafs.FileSystem.from_uri(folder)
+                        system, root = open_folder(folder)
                         system.create_dir(root, recursive=True)
                         stream = system.open_output_stream(f"{root}/{name}")
                         writer = TokenFileWriter(stream, kind, block_ids)
@@ -247,7 +229,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(*(batch.column(c).to_pylist() for c in ("file", "base"))):
-                system, root = pafs.FileSystem.from_uri(folder)
+                system, root = open_folder(folder)
                 with system.open_input_file(f"{root}/{name}") as stream:
                     reader = TokenFileReader(stream, stream.size())
                     starts = np.cumsum(reader.lengths) - reader.lengths
@@ -265,7 +247,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return files.repartition("file").mapInArrow(read, schema)
+    # the number keeps adaptive execution from putting small manifests into one task
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None, **options) -> DataFrame:
