@@ -10,12 +10,12 @@ sorting of numbers; ``_`` marks where a word begins and ends.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +31,19 @@ LEAST_LIKENESS = 0.15
 OTHER_BELOW, OWN_BELOW = 0.95, 0.001
 _BINS = 1000
 _PART = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+_NOT_LETTER = regex.compile(r"\P{L}")
 _GAP = ord("_")
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a whole text, as numbers in ascending order, and their counts."""
     grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(0, len(text), _PART):  # a word at the border counts as two
-        words = _LETTERS.findall(text[at : at + _PART].lower())
+    end = 0
+    while end < len(text):  # in parts that cut no word
+        at, gap = end, _NOT_LETTER.search(text, end + _PART)
+        end = gap.start() if gap else len(text)
+        words = _LETTERS.findall(text[at:end].lower())
         if not words:
             continue
         c = np.frombuffer(f"_{'_'.join(words)}_".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
@@ -177,7 +181,9 @@ def learn(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str =
     """Profiles of all languages of ``docs``, over all its rows that have a text and a language.
 
     With ``threshold``, the same rows are read again to measure ``least``.  What comes to the
-    driver is ``size`` numbers for each language and the likenesses' counts in bins.
+    driver is ``size`` numbers for each language and the likenesses' counts in bins: the
+    languages of ``lang`` must be few (thousands at most), as each becomes a profile that
+    every document is compared with.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))

@@ -89,7 +89,8 @@ def take(rows: DataFrame, targets: DataFrame) -> DataFrame:
         .join(targets, parts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
         .withColumn("epochs", epochs.cast("long"))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .withColumn("state", F.when(F.col("before") + F.col("words") <= F.col("rest"), 1)
+        .withColumn("state", F.when(F.col("rest") <= 0, 0)  # whole epochs only, empty documents too
+                    .when(F.col("before") + F.col("words") <= F.col("rest"), 1)
                     .when(F.col("before") > F.col("rest"), 0))  # null: the target is reached inside
     )
     known = _with_state(keyed, state)

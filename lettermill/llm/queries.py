@@ -156,25 +156,26 @@ TOOLS = {
     "compute": {"query": ("string", True), "limit": ("integer", False)},
 }
 _CALLS = r"""
-select conv_id, turn, concat(cast(conv_id as {S}), '-', cast(turn as {S})) as call_id,
+select conv_id, turn, cast(conv_id as {S}) || '-' || cast(turn as {S}) as call_id,
   case n % 3 when 0 then 'search' when 1 then 'lookup' else 'compute' end as tool,
   case when n % 11 = 0 then '{"limit": '
     when n % 7 = 0 then concat('{ "query": 5, "limit": ', cast(n as {S}), ' }')
     else concat('{"query": "', coalesce(regexp_extract(text, '([A-Za-z]+)', 1), ''), '", "limit": ', cast(n as {S}),
       ', "after": ', cast(turn as {S}), '}') end as arguments,
-  case when n % 4 = 0 then concat(cast(conv_id as {S}), '-', cast(turn - 2 as {S}))
-    when n % 20 = 5 then concat(cast(conv_id as {S}), '-', cast(turn + 2 as {S})) end as depends
+  case when n % 4 = 0 then cast(conv_id as {S}) || '-' || cast(turn - 2 as {S})
+    when n % 20 = 5 then cast(conv_id as {S}) || '-' || cast(turn + 2 as {S}) end as depends
 from (select *, coalesce(length(text), 0) as n from {T} where role = 'assistant') c
 """
 _RESULTS = """
-select conv_id, turn, concat(cast(conv_id as {S}), '-', cast(turn - 1 as {S})) as call_id, text as content
-from {T} where role <> 'assistant' and turn > 0
+select conv_id, turn, cast(conv_id as {S}) || '-' || cast(turn - 1 as {S}) as call_id, text as content
+from {T} where role is distinct from 'assistant'
 """
 
 
 @_query
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn as a tool call and every later turn as the result of the one before."""
+    """Every assistant turn as a tool call, and every other turn as the result of the turn before:
+    opening turns are results without a call, turns without a number have no name."""
     from lettermill.llm.chat import link_tool_calls
 
     talk = table(spark, sf_dir, "conversations")
@@ -215,7 +216,7 @@ checked as (
   from nodes n left join keys k using (conv_id, call_id)),
 events as (
   select conv_id, coalesce(seq, turn) as seq, coalesce(hop, 0) as hop, 'call' as kind, call_id, turn,
-    case when seq is null then 'circular' when faults <> '' then 'invalid' when answer is null then 'unanswered'
+    case when call_id is null then 'unnamed' when seq is null then 'circular' when faults <> '' then 'invalid' when answer is null then 'unanswered'
       else 'ok' end as status, faults,
     case when faults = 'not JSON' then '{' else '{"arguments":{' ||
       case when position('"after"' in arguments) > 0 then '"after":' || turn || ',' else '' end ||
@@ -229,7 +230,7 @@ events as (
   select r.conv_id,
     case when k.seq is null then r.turn else greatest(r.turn, k.seq) end,
     case when k.seq is null or r.turn > k.seq then 0 else k.hop + 1 end, 'result', r.call_id, r.turn,
-    case when c.call_id is null then 'orphan' when k.seq is null then 'circular' else 'ok' end, '',
+    case when r.call_id is null then 'unnamed' when c.call_id is null then 'orphan' when k.seq is null then 'circular' else 'ok' end, '',
     '{"call_id":"' || r.call_id || '",' || coalesce('"content":' || to_json(r.content)::varchar || ',', '') ||
       '"kind":"result"}'
   from results r left join calls c on c.conv_id = r.conv_id and c.call_id = r.call_id

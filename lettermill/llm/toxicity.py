@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.textmap import filter_texts, held_out, labelled_sample, map_texts, parts
+from lettermill.llm.textmap import filter_texts, held_out, labelled_sample, map_texts
 from lettermill.llm.wordcache import WordCache
 
 SAMPLE_ROWS = 20_000
@@ -39,13 +39,19 @@ DIGITS = dict(zip("0134578@$!|", "oieastbasii"))
 _UNSEEN = re.compile("[­​-‏⁠-⁤﻿]")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[\d@$!|]+(?=[^\W\d_])")
 _BEFORE = re.compile(r"(?<![^\W_])[\d@$!|]+(?=[^\W\d_]{2})")
+_AT_END = re.compile(r"(?<=[^\W\d_])[\d@$]+(?=[^\w@$]*$)")
+_MAYBE_AT_END = re.compile(rb"[\d@$][^0-9A-Za-z]*$")
 _RUN = re.compile(r"[^\W\d_]+")
 _ALIKE = str.maketrans(LOOKALIKES)
 _DIGITS = str.maketrans(DIGITS)
 
 
-def fold(chunk: str) -> list[str]:
-    """The folded words of a text without white space."""
+def fold(chunk: str, end: bool = False) -> list[str]:
+    """The folded words of a text without white space.
+
+    Digits and signs at its end stand for themselves (``room101``, ``the$$$``), with ``end``
+    for letters (``worthle55``).
+    """
     if not (chunk.isascii() and chunk.isalpha()):
         chunk = unicodedata.normalize("NFKC", _UNSEEN.sub("", chunk))
     word = chunk.lower()
@@ -55,7 +61,7 @@ def fold(chunk: str) -> list[str]:
         if any("a" <= c <= "z" for c in word) or latin.isascii():
             word = latin
     if not word.isalpha():
-        for place in (_INSIDE, _BEFORE):
+        for place in (_INSIDE, _BEFORE, _AT_END) if end else (_INSIDE, _BEFORE):
             word = place.sub(lambda m: m[0].translate(_DIGITS), word)
     return _RUN.findall(word)
 
@@ -86,22 +92,30 @@ class Lexicon:
             self._find.add_word(pattern, weight)
         if self.weights:
             self._find.make_automaton()
-        self._words = WordCache(self._weigh)
+        self._words = WordCache(self._weigh, limit=60_000)
 
     def _weigh(self, chunks: list[bytes]) -> list[tuple[float, str, str]]:
         """Weight, first and last folded word of each text without white space."""
         out = []
         for chunk in chunks:
-            words = fold(chunk.decode("utf-8", "replace"))
-            weight = 0.0
-            if self.weights and words:
-                ends = {}
-                for at, found in self._find.iter("".join(f"^{w}$" for w in words)):
-                    ends[at] = max(found, ends.get(at, 0.0))
-                weight = max(ends.values(), default=0.0) if len(words) == 1 else sum(ends.values())
+            text = chunk.decode("utf-8", "replace")
+            words = fold(text)
+            weight = self._weight(words)
+            if _MAYBE_AT_END.search(chunk):
+                other = fold(text, end=True)
+                if other != words and (more := self._weight(other)) > weight:
+                    words, weight = other, more
             out.append((weight, words[0] if words else "", words[-1] if words else ""))
         return out
 
+    def _weight(self, words: list[str]) -> float:
+        if not self.weights or not words:
+            return 0.0
+        ends: dict[int, float] = {}
+        for at, found in self._find.iter("".join(f"^{w}$" for w in words)):
+            ends[at] = max(found, ends.get(at, 0.0))
+        return max(ends.values(), default=0.0) if len(words) == 1 else sum(ends.values())
+
     def sums(self, texts: list[bytes | None]) -> np.ndarray:
         """Per text: the sum of weights, how many words are hit, the number of words."""
         if not hasattr(self, "_words"):

@@ -87,3 +87,17 @@ def test_query_agrees_with_sql(spark):
     key = ["conv_id", "place"]
     text = [t[got.columns].astype(str).sort_values(key).reset_index(drop=True) for t in (got, want)]
     assert text[0].equals(text[1])
+
+
+def test_query_takes_every_turn(spark, tmp_path):
+    """Opening turns, other roles, and null roles and turns all come out."""
+    rows = [(1, 0, "system", "s"), (1, 1, "assistant", "call"), (1, 2, None, "result"), (1, None, "user", "x"),
+            (None, 3, "user", "y"), (2, 0, "user", "opening"), (2, None, "assistant", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    got = entry.queries()["op10_tool_calls"](spark, str(tmp_path)).collect()
+    status = {(r.conv_id, r.turn, r.kind): r.status for r in got}
+    assert len(got) == len(rows) == len(status) and status.pop((1, 1, "call")) in ("ok", "invalid")
+    assert status == {
+        (1, 0, "result"): "orphan", (1, 2, "result"): "ok", (1, None, "result"): "unnamed",
+        (None, 3, "result"): "unnamed", (2, 0, "result"): "orphan", (2, None, "call"): "unnamed"}

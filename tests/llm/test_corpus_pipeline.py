@@ -34,7 +34,7 @@ def test_every_stage_against_a_plain_version(spark):
 
     profiles = langid.learn(clean.where(~langid.fold_out()))
     known = after("language", clean)
-    ids = {i for i in ids if (g := profiles.guess(rows[i].text))[0] != "und" and g[1] >= langid.LEAST_LIKENESS}
+    ids = {i for i in ids if (g := profiles.guess(rows[i].text))[0] != "und" and g[1] >= profiles.least}
     assert {r.doc_id for r in known.collect()} == ids
 
     fps = {i: simhash.fingerprint(rows[i].text.encode()) for i in ids}

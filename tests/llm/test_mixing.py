@@ -86,3 +86,10 @@ def test_numbers(spark):
     rows = spark.range(0, 1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50)))
     got = sorted((r.place, r.k) for r in number_in_order(rows, [F.col("k")]).collect())
     assert [p for p, _ in got] == list(range(1000)) and [k for _, k in got] == sorted(k for _, k in got)
+
+
+def test_empty_documents_are_not_taken_more_often_than_others(spark):
+    """One source stops at twice its size: whole epochs only, also for what has no words."""
+    rows = [(k, "a", "w w" if k % 3 else "") for k in range(12)] + [(100 + k, "b", "w " * 400) for k in range(9)]
+    picks = mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.copies for r in picks if r.source == "a"} == {2} and all(r.copies <= 2 for r in picks)

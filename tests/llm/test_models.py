@@ -7,7 +7,7 @@ from tables import no_docs, odd_docs
 
 import __spark_entry__ as entry
 from lettermill.llm import langid, quality, toxicity
-from lettermill.llm.textmap import held_out
+from lettermill.llm.textmap import held_out, labelled_sample
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -145,3 +145,75 @@ def test_odd_tables(spark):
         assert kept.where("text is null or trim(text) = ''").count() == 0
     profiles = langid.learn(docs.where(F.lit(False)))
     assert langid.known_rows(docs, profiles).count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+@pytest.mark.parametrize("word, folded", [
+    ("worthle55", ["worthless"]), ("idio7.", ["idiot"]), ("the$$$", ["thesss"]), ("2024", []), ("room101", ["roomioi"])])
+def test_fold_with_end(word, folded):
+    assert toxicity.fold(word, end=True) == folded
+
+
+def test_digits_at_the_end_count_if_that_weighs_more():
+    lexicon = toxicity.Lexicon({"^idiot$": 3.0, "^worthless$": 2.0, "^room$": 1.0}, frozenset(), (-3, 2, 2))
+    texts = [b"idio7", b"worthle55!", b"the$$$ room101", b"worthle5 s"]
+    assert lexicon.sums(texts)[:, 0].tolist() == [3, 2, 1, 0]
+
+
+def test_automaton_agrees_with_naive_search(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"), toxicity.fold_out())
+    texts = [r.text for r in docs.collect()]
+    assert len(lexicon.weights) > 3
+
+    def weigh(words):
+        marked = "".join(f"^{w}$" for w in words)
+        ends = {}
+        for pattern, weight in lexicon.weights.items():
+            at = marked.find(pattern)
+            while at >= 0:
+                ends[at + len(pattern)] = max(weight, ends.get(at + len(pattern), 0.0))
+                at = marked.find(pattern, at + 1)
+        return max(ends.values(), default=0.0) if len(words) == 1 else sum(ends.values())
+
+    seen = {}
+    for text in texts:
+        total, hits, words = 0.0, 0, text.split()
+        for word in words:
+            if word not in seen:
+                forms = [toxicity.fold(word), toxicity.fold(word, end=True)]
+                weights = [weigh(f) for f in forms]
+                best = int(weights[1] > weights[0])
+                seen[word] = weights[best], forms[best][0] if forms[best] else "", forms[best][-1] if forms[best] else ""
+        for at, word in enumerate(words):
+            weight, first, last = seen[word]
+            before = seen[words[at - 1]][2] if at else ""
+            after = seen[words[at + 1]][1] if at + 1 < len(words) else ""
+            if weight and (before, first) not in lexicon.exceptions and (last, after) not in lexicon.exceptions:
+                total, hits = total + weight, hits + 1
+        got = lexicon.sums([text.encode()])[0]
+        assert np.allclose(got, [total, hits, len(words)]), text[:80]
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.range(5_000).selectExpr("1L as doc_id", "concat('text ', id) as text").union(
+        spark.range(2, 50).selectExpr("id as doc_id", "null as text"))
+    labels = spark.range(1, 50).selectExpr("id as doc_id", "1 as toxic")
+    got = labelled_sample(docs, labels, "toxic", 10, F.lit(False)).collect()
+    assert len(got) == 10 and len({r.doc_id for r in got}) == 10
+    everything = labelled_sample(docs, labels, "toxic", 1000, F.lit(False)).collect()
+    assert sorted(r.doc_id for r in everything) == list(range(1, 50))
+
+
+def test_texts_without_letters_have_no_language():
+    profiles = langid.Profiles(["de"], [langid.top_grams("wort um wort", 10)], 10)
+    for text in ("½ ² ① Ⅷ", "123 _ !", "", None, "́"):
+        assert profiles.guess(text) == ("und", 0.0)
+    assert profiles.guess("ª")[0] == "de"
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = "several words1of different-length und ÄÖÜ " * 30 + "x" * 500
+    whole = [x.tolist() for x in langid.gram_counts(text)]
+    for part in (1, 7, 50, 333):
+        monkeypatch.setattr(langid, "_PART", part)
+        assert [x.tolist() for x in langid.gram_counts(text)] == whole
