@@ -196,11 +196,12 @@ for _how in MARKS:
 
 
 @query(f"""with {mb.MESSAGES_SQL} select m.account, m.folder, m.uid,
-  m.seen or d.doc_id is not null seen, m.flagged, false deleted
-from msgs m left join documents d on d.doc_id = m.uid""", name="mark_by_key")
+  m.seen or d.lang = 'de' seen, m.flagged, false deleted
+from msgs m join documents d on d.doc_id = m.uid % (select count(*) from documents)""", name="mark_by_key")
 def _mark_by_key(spark, sf_dir):
-    """Mark exactly the messages that have content."""
-    keys = mb.mails(spark, sf_dir).select("account", "folder", "uid")
+    """Mark exactly the messages from one list: those whose content is in one language."""
+    german = F.startswith("header", F.lit("From: list-de@"))
+    keys = mb.mails(spark, sf_dir).filter(german).select("account", "folder", "uid")
     return tr.mark_by_key(mb.messages(spark, sf_dir), keys, "seen").select(*_STATE)
 
 
@@ -308,7 +309,7 @@ units as (select account_idx, account, c.i command_idx, folder_idx, folder from
 failures as (select account, command_idx, folder_idx,
     case when account_idx=3 and folder_idx=1 then 'run'
       when account_idx=1 and folder_idx=3 then 'account' else 'folder' end kind
-  from outcomes where status='error' and folder_idx in (1,3)),
+  from outcomes where status='error'),
 marked as (select u.*, f.kind from units u
   left join failures f using (account, command_idx, folder_idx)),
 in_account as (select *, coalesce(max(case when kind in ('account','run') then 1 else 0 end) over (
@@ -324,9 +325,7 @@ def _isolate_failures(spark, sf_dir):
     units = mb.folders(spark, sf_dir).filter("folder <> '[Gmail]'").withColumn(
         "command_idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     )
-    failures = oc.outcomes(spark, sf_dir).filter(
-        "status = 'error' and folder_idx in (1, 3)"
-    ).select("account", "command_idx", "folder_idx", F.expr(
+    failures = oc.outcomes(spark, sf_dir).filter("status = 'error'").select("account", "command_idx", "folder_idx", F.expr(
         "case when account_idx = 3 and folder_idx = 1 then 'run' "
         "when account_idx = 1 and folder_idx = 3 then 'account' else 'folder' end kind"
     ))

@@ -16,7 +16,8 @@ from lettermill.operators.ranking import duplicate_number
 from lettermill.operators.reports import account_counters, cycle_summary
 from lettermill.plans import recipes
 from lettermill.plans.commands import CallTarget, Count, Delete, Fetch, MaildirTarget, Mark, TableTarget
-from lettermill.plans.pipeline import Mailbox, run_pipeline
+from lettermill.plans.pipeline import CatastrophicFailure, Mailbox, run_pipeline
+from lettermill.schema import CONTENT_KEY, MESSAGES
 from lettermill.session import scratch_path
 from lettermill.sources import archive_table as at
 from lettermill.sources import maildir as md
@@ -26,6 +27,13 @@ from lettermill.streaming.cycles import follow_arrivals, run_cycle
 
 _ORDER = ["account_idx", "account", "folder_idx", "folder", "uid"]
 _MAIL = f"with {mb.MAILS_SQL}"
+# digests taken in one pass, so that nothing is joined with content afterwards
+_DIGESTS = _MAIL + """,
+digested as (
+  select account_idx, account, folder_idx, folder, uid, sha256(header||body) msg_hash,
+    cast(strlen(header)+strlen(body) as bigint) length, cast(strlen(header) as bigint) header_bytes,
+    sha256(header) header_hash, sha256(body) body_hash
+  from clean)"""
 
 
 def _clean(spark, sf_dir):
@@ -79,10 +87,10 @@ def archive_names(spark, sf_dir):
     )
 
 
-@query(_MAIL + """ select account, folder, uid, msg_hash, dup_no, length,
-  substr(msg_hash, 1, 1) hash_prefix, cast(strlen(header) as bigint) header_bytes,
-  sha256(body) body_hash
-from named join clean using (account, folder, uid)""")
+@query(_DIGESTS + """ select account, folder, uid, msg_hash, row_number() over (
+    partition by msg_hash order by account_idx, folder_idx, uid) - 1 dup_no, length,
+  substr(msg_hash, 1, 1) hash_prefix, header_bytes, body_hash
+from digested""")
 def archive_rows(spark, sf_dir):
     """Written as an archive table and read back."""
     path = scratch_path(spark, "archive")
@@ -145,15 +153,9 @@ def deliver(spark, sf_dir):
     return dlv.deliver(_clean(spark, sf_dir), accept).select("account", "folder", "uid", "ok")
 
 
-_UNREAD_NAMED = _MAIL + """,
-unread as (select h.*, row_number() over (partition by msg_hash
-    order by h.account_idx, h.folder_idx, h.uid) - 1 dup_no
-  from hashed h join msgs m using (uid) where not m.seen)"""
-
-
-@query(_UNREAD_NAMED + """ select u.msg_hash, u.dup_no, u.length,
-  sha256(c.header) header_hash, sha256(c.body) body_hash
-from unread u join clean c using (account, folder, uid)""")
+@query(_DIGESTS + """ select msg_hash, row_number() over (
+    partition by msg_hash order by account_idx, folder_idx, uid) - 1 dup_no, length, header_hash, body_hash
+from digested semi join (select uid from msgs where not seen) using (uid)""")
 def maildir_round_trip(spark, sf_dir):
     """Unread mail fetched into a Maildir and read back from its files."""
     path = scratch_path(spark, "maildir").removeprefix("file:")
@@ -164,8 +166,8 @@ def maildir_round_trip(spark, sf_dir):
     )
 
 
-@query(_MAIL + """ select 'IAH_'||msg_hash||'_'||dup_no||'.host,S='||length as name, length,
-  sha256(header||body) msg_hash from named join clean using (account, folder, uid)""")
+@query(_MAIL + """ select 'IAH_'||msg_hash||'_'||dup_no||'.host,S='||length as name, length, msg_hash
+from named""")
 def maildir_sink(spark, sf_dir):
     """All mail written through the ``maildir`` format."""
     path = scratch_path(spark, "maildir").removeprefix("file:")
@@ -179,6 +181,22 @@ def maildir_sink(spark, sf_dir):
     )
 
 
+@query(_MAIL + """, flags as (select uid, seen from msgs)
+select 'IAH_'||msg_hash||'_'||(row_number() over (partition by msg_hash
+    order by seen, account_idx, folder_idx, uid) - 1)||'.host,S='||length as name, length
+from hashed join flags using (uid)""")
+def maildir_append_twice(spark, sf_dir):
+    """Unread mail goes into a Maildir, then read mail into the same one: numbers go on, from
+    the table of given numbers."""
+    path = scratch_path(spark, "maildir").removeprefix("file:")
+    box = _box(spark, sf_dir)
+    for seen in (False, True):
+        chosen = MessageFilter(seen=seen)
+        run_pipeline(box, [Fetch(target=MaildirTarget(path, "host"), filter=chosen)], mb.MAIL_NOW)
+    return md.list_maildir(spark, path).select(
+        "name", F.regexp_extract("name", "S=([0-9]+)$", 1).cast("bigint").alias("length"))
+
+
 # -- captured responses ---------------------------------------------------------
 
 
@@ -379,31 +397,90 @@ def two_trackers(spark, sf_dir):
 
 
 @query(_MAIL + """,
-sent as (select h.account, h.account_idx, h.folder, h.uid, substr(msg_hash,1,1) >= '4' ok,
-    (row_number() over (partition by h.account, h.folder order by h.uid) - 1) // 150 batch
-  from hashed h join msgs m using (uid) where not m.seen)
-select account, folder, uid, case when ok then 'marked' else 'failed' end status from sent
+sent as (select h.account, h.folder, h.folder_idx, h.uid, substr(h.msg_hash,1,1) >= '4' ok
+  from hashed h join msgs m using (uid) where not m.seen and m.from_addr = 'user12@github.com'),
+batches as (select account, folder, folder_idx, count(*) filter (ok) d, count(*) filter (not ok) u
+  from sent group by all),
+ended as (select min(folder_idx) halt from batches where u > 0 and d = 0),
+failing as (select b.* from batches b, ended where u > 0 and folder_idx <= coalesce(halt, 99)),
+marked as (select uid from sent, ended where ok and folder_idx <= coalesce(halt, 99)),
+going as (select m.account, m.folder, m.uid, m.host from msgs m left join marked k using (uid)
+  where (m.seen or k.uid is not null) and m.folder in ('INBOX','Receipts')
+    and cast(m.internal_date as date) < date '2024-01-02' and m.account not in (select account from failing))
+select account, folder, uid, case when folder_idx > coalesce(halt, 99) then 'not_attempted'
+  when ok then 'marked' else 'failed' end status from sent, ended
 union all
-select account, folder, cast(-1 as bigint), 'error' from sent where not ok
-  group by account, folder, batch
+select account, folder, -1, 'error' from failing
 union all
-select account, folder, -1, 'error' from (select distinct account from sent where not ok)
-cross join (values ('INBOX'),('Receipts')) f(folder)""")
+select account, folder, -1, 'error' from failing where d = 0
+union all
+select account, f.folder, -1, 'error' from (select distinct account from failing), ended,
+  (values ('INBOX'),('Receipts')) f(folder) where halt is null
+union all
+select account, folder, uid, case when host = 'imap.gmail.com' then 'trashed' else 'deleted' end from going""")
 def careful_fetch_blocks_delete(spark, sf_dir):
-    """Some deliveries fail; those accounts are not deleted from afterwards.
+    """Some deliveries of one sender's mail fail; that account is not deleted from, others are.
 
     Batches are limited by number only, so that SQL can tell them apart too.
     """
     target = CallTarget(lambda raw, digest: digest[0] >= "4", "function")
     commands = [
-        Fetch(target=target, mode="yolo", batch_size=1 << 50),
+        Fetch(target=target, mode="careful", batch_size=1 << 50,
+              filter=MessageFilter(seen=False, from_contains=("user12@",))),
         Count(filter=MessageFilter(seen=False)),
         Delete(filter=MessageFilter(older_than_days=(7,)), folders=FolderChoice(("INBOX", "Receipts"))),
     ]
     outcomes = run_pipeline(_box(spark, sf_dir), commands, mb.MAIL_NOW).outcomes
-    return outcomes.filter("status not in ('trashed', 'deleted')").select(
-        "account", "folder", F.coalesce("uid", F.lit(-1)).alias("uid"), "status"
-    )
+    return outcomes.select("account", "folder", F.coalesce("uid", F.lit(-1)).alias("uid"), "status")
+
+
+@query(_MAIL + """,
+sent as (select h.account, h.account_idx, h.folder, h.folder_idx, h.uid, substr(msg_hash,1,2) <> '07' ok,
+    (row_number() over (partition by h.account, h.folder order by h.uid) - 1) // 20 batch
+  from hashed h join msgs m using (uid) where not m.seen),
+batches as (select *, row_number() over (order by account_idx, folder_idx, batch) pos from (
+    select account, account_idx, folder, folder_idx, batch, count(*) filter (ok) d, count(*) filter (not ok) u
+    from sent group by all)),
+ended as (select account, min(pos) halt from batches where u > 0 and d = 0 group by account),
+reached as (select b.*, pos > coalesce(halt, 999999999) late from batches b left join ended using (account)),
+stop as (select min(pos) halt, min_by(account_idx, pos) account_idx from reached where u > 0 and d > 0 and not late),
+judged as (select r.*, r.late or pos > coalesce(s.halt, 999999999) unsent, pos = s.halt spoiled
+  from reached r, stop s where r.account_idx <= coalesce(s.account_idx, 99))
+select account, folder, uid, case when unsent then 'not_attempted' when not ok then 'failed'
+  when spoiled then 'delivered_unmarked' else 'marked' end status
+from sent join judged using (account, folder, batch)
+union all
+select account, folder, -1, 'error' from judged where u > 0 and not unsent
+union all
+select account, folder, -1, 'error' from judged where u > 0 and d = 0 and not unsent""")
+def paranoid_function(spark, sf_dir):
+    """A function refuses some content; the first batch it takes in part ends the whole run."""
+    target = CallTarget(lambda raw, digest: digest[:2] != "07", "function")
+    fetch = Fetch(target=target, mode="paranoid", batch_number=20, batch_size=1 << 50)
+    try:
+        outcomes = run_pipeline(_box(spark, sf_dir), [fetch], mb.MAIL_NOW).outcomes
+    except CatastrophicFailure as exc:
+        outcomes = exc.result.outcomes
+    return outcomes.select("account", "folder", F.coalesce("uid", F.lit(-1)).alias("uid"), "status")
+
+
+@query(f"""with {mb.MESSAGES_SQL},
+base as (select account, max(uid) m from msgs where folder = '[Gmail]/Trash' group by account),
+first as (select account, count(*) n from msgs where seen and folder = 'INBOX' group by account),
+moved as (select account, uid origin_uid, coalesce(m, 0) + coalesce(n, 0)
+    + row_number() over (partition by account order by uid) uid
+  from msgs left join base using (account) left join first using (account)
+  where seen and folder = 'Receipts' and host = 'imap.gmail.com')
+select account, folder, uid, uid origin_uid from msgs
+where not (seen and folder in ('INBOX', 'Receipts', '[Gmail]/Trash'))
+union all
+select account, '[Gmail]/Trash', uid, origin_uid from moved""")
+def trash_refilled(spark, sf_dir):
+    """Mail goes to the trash, the trash is emptied, more mail goes there: no UID comes twice."""
+    commands = [Delete(folders=FolderChoice((f,))) for f in ("INBOX", "[Gmail]/Trash", "Receipts")]
+    messages = mb.messages(spark, sf_dir).drop("account_idx", "folder_idx")
+    box = Mailbox(mb.accounts(spark, sf_dir), mb.folders(spark, sf_dir), messages)
+    return run_pipeline(box, commands, mb.MAIL_NOW).messages.select("account", "folder", "uid", "origin_uid")
 
 
 @query(_MAIL + f""",
@@ -425,7 +502,7 @@ def cycles(spark, sf_dir):
     """Mail arrives as a stream and is fetched and expired; a day later a
     cycle without any new mail expires what has aged since."""
     root = scratch_path(spark, "store")
-    store = Store.create(spark, root, mb.accounts(spark, sf_dir), mb.folders(spark, sf_dir))
+    store = Store.create(spark, root, mb.accounts(spark, sf_dir), mb.folders(spark, sf_dir), buckets=8)
     commands = [
         Fetch(target=_archive(spark)),
         Delete(filter=MessageFilter(older_than_days=(7,)), folders=FolderChoice()),
@@ -434,24 +511,13 @@ def cycles(spark, sf_dir):
         f"{sf_dir}/events.parq*"
     )
 
-    def mail_of(batch):
-        return mb.mails_of(batch, mb.table(spark, sf_dir, "documents"))
-
-    def metadata_of(batch):
-        return mail_of(batch).select(*[c for c in store.messages().columns])
-
-    def contents_of(batch):
-        return mail_of(batch).select(
-            "account", "origin_folder", "origin_uid", F.col("header").cast("binary").alias("header"),
-            F.col("body").cast("binary").alias("body"),
-        )
-
+    metadata_of, contents_of = _parts_of_mail(spark, sf_dir)
     follow_arrivals(
         events, store, contents_of, metadata_of, f"{root}/checkpoint",
-        then=lambda batch: run_cycle(store, commands, batch, mb.MAIL_NOW), available_now=True,
+        then=lambda batch, source: run_cycle(store, commands, batch, mb.MAIL_NOW, source), available_now=True,
     ).awaitTermination()
-    last = store.last_cycle()[0]
-    run_cycle(store, commands, last + 1, mb.MAIL_NOW + dt.timedelta(days=1))
+    last = store.last_cycle()
+    run_cycle(store, commands, 0, mb.MAIL_NOW + dt.timedelta(days=1), "next-day")
     kept = store.messages().groupBy("account", "folder").agg(F.count(F.lit(1)).alias("n"))
     report = kept.select(F.lit("kept").alias("what"), "account", "folder", "n")
     for cycle in (0, last + 1):
@@ -462,3 +528,43 @@ def cycles(spark, sf_dir):
             F.lit(0).cast("bigint").alias("n"),
         ))
     return report
+
+
+def _parts_of_mail(spark, sf_dir):
+    """Metadata and contents of arriving events."""
+
+    def mail_of(batch):
+        return mb.mails_of(batch, mb.table(spark, sf_dir, "documents"))
+
+    def metadata_of(batch):
+        return mail_of(batch).select(*[f.split()[0] for f in MESSAGES.split(", ")])
+
+    def contents_of(batch):
+        return mail_of(batch).select(
+            "account", "origin_folder", "origin_uid", F.col("header").cast("binary").alias("header"),
+            F.col("body").cast("binary").alias("body"),
+        )
+
+    return metadata_of, contents_of
+
+
+@query(_MAIL + """ select account, folder, uid, true seen,
+  cast(strlen(header) as bigint) header_bytes, sha256(body) body_hash from mails""")
+def two_arrival_streams(spark, sf_dir):
+    """Two streams, and one of them again under a new checkpoint, bring mail to one store: all
+    of it is kept and fetched, with its content."""
+    root = scratch_path(spark, "store")
+    store = Store.create(spark, root, mb.accounts(spark, sf_dir), mb.folders(spark, sf_dir), buckets=8)
+    events = spark.readStream.schema(mb.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parq*")
+    metadata_of, contents_of = _parts_of_mail(spark, sf_dir)
+    fetch = [Fetch(target=_archive(spark))]
+    for n, part in enumerate(("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2")):
+        follow_arrivals(
+            events.filter(part), store, contents_of, metadata_of, f"{root}/checkpoint-{n}",
+            then=lambda batch, source: run_cycle(store, fetch, batch, mb.MAIL_NOW, source), available_now=True,
+        ).awaitTermination()
+    box = store.load()[0]
+    address = [*CONTENT_KEY, "origin_batch"]
+    return box.messages.join(box.contents, address).select(
+        "account", "folder", "uid", "seen", F.octet_length("header").cast("bigint").alias("header_bytes"),
+        F.sha2("body", 256).alias("body_hash"))

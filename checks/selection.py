@@ -84,12 +84,17 @@ def older_than_stamp(spark, sf_dir):
 
 
 @query(f"""with {mb.MESSAGES_SQL} select account, folder, uid from msgs
-where cast(internal_date as date) < date '2024-01-28'""")
+where cast(internal_date as date)
+  < (select cast(max(internal_date) - interval 9 day as date) from msgs)""")
 def older_than_mtime(spark, sf_dir):
-    """The tables were made after all their mail, so the three days decide."""
-    chosen = MessageFilter(
-        older_than_days=(3,), older_than_mtime_of=(f"{sf_dir}/events.parquet",)
-    )
+    """The cut-off is when a file was last written: nine days before the newest message."""
+    path = scratch_path(spark, "mtime")
+    mb.messages(spark, sf_dir).agg(F.max("uid").cast("string")).coalesce(1).write.text(path)
+    since = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', max(ts)) - 9 * 86400"
+    seconds = mb.table(spark, sf_dir, "events").agg(F.expr(since)).first()[0]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(folder, seconds * 1000, -1)
+    chosen = MessageFilter(older_than_days=(3,), older_than_mtime_of=(path,))
     return mb.messages(spark, sf_dir).filter(chosen.column(mb.NOW, spark)).select(*_SELECTED)
 
 
@@ -239,20 +244,22 @@ def readable_counts(spark, sf_dir):
 
 
 _DRY_SQL = f"""with {mb.FOLDERS_SQL}, {mb.MESSAGES_SQL},
-counts as (select f.account_idx, f.folder_idx, f.folder, count(m.uid) n from folders f
+counts as (select f.account_idx, f.folder_idx, f.folder, f.host, count(m.uid) n from folders f
   left join msgs m on m.account=f.account and m.folder=f.folder and """
 
 
 @query(_DRY_SQL + """m.seen and cast(m.internal_date as date) < date '2024-01-24' group by all)
-select account_idx, folder_idx, 'dry-run: not deleting '||n||
-  ' messages matching (SEEN BEFORE 24-Jan-2024) from folder `'||folder||'`' line from counts""")
+select account_idx, folder_idx, 'dry-run: not '||case when trash then 'moving ' else 'deleting ' end||n||
+  ' messages matching (SEEN BEFORE 24-Jan-2024) from folder `'||folder||'`'||
+  case when trash then ' to `[Gmail]/Trash`' else '' end line
+from (select *, host = 'imap.gmail.com' and folder <> '[Gmail]/Trash' trash from counts)""")
 def dry_run(spark, sf_dir):
     command = Delete(filter=MessageFilter(older_than_days=(7,)))
     condition = command.effective_filter().column(mb.NOW)
     counts = count_by_folder(
         mb.messages(spark, sf_dir), list_folders(mb.folders(spark, sf_dir)), condition
     ).withColumn("command", F.lit("delete"))
-    return dry_run_lines(counts, command, mb.NOW)
+    return dry_run_lines(counts, command, mb.NOW, mb.accounts(spark, sf_dir))
 
 
 @query(_DRY_SQL + """not m.flagged group by all)

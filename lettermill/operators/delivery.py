@@ -15,8 +15,9 @@ from lettermill.functions.content import (
     normalise_newlines,
 )
 from lettermill.functions.text import plural
+from lettermill.operators.ranking import UID_BLOCK, number_rows
 from lettermill.schema import MESSAGE_KEY
-from lettermill.session import ship_package
+from lettermill.session import materialise, scratch_path, ship_package
 
 MODES = ("yolo", "careful", "paranoid")
 DELIVERED = ("delivered", "marked", "delivered_unmarked")
@@ -26,6 +27,9 @@ _BATCH_KEY = ["account", "command_idx", "folder", "batch_id"]
 _IN_ACCOUNT = ["command_idx", "folder_idx", "batch_id"]
 _IN_RUN = ["account_idx", *_IN_ACCOUNT]
 
+# batches that one task of a careful or paranoid delivery hands over at most
+RUN_BATCHES = 64
+
 ABORTED = "failed to deliver any messages, aborting this `fetch` and any following commands"
 
 
@@ -65,6 +69,8 @@ def deliver(rows: DataFrame, fn: Callable[[bytes, str], object]) -> DataFrame:
 
 
 _RESULT = "account string, folder string, uid bigint, ok boolean, detail string"
+_HANDED = ("account_idx int, account string, folder_idx int, folder string, batch_id bigint, uid bigint, "
+           "ok boolean, detail string")
 
 
 def _raw() -> list[Column]:
@@ -80,39 +86,82 @@ def _handed(fn: Callable[[bytes, str], object], header, body, digest) -> tuple[b
         return False, f"{type(exc).__name__}: {exc}"
 
 
-def deliver_in_turn(rows: DataFrame, fn: Callable[[bytes, str], object], mode: str) -> DataFrame:
+def deliver_in_turn(
+    rows: DataFrame, fn: Callable[[bytes, str], object], mode: str, run_batches: int = RUN_BATCHES
+) -> DataFrame:
     """As :func:`deliver`, but nothing is handed over after a stop.
 
     A careful or paranoid delivery may not try a batch before it knows how the one before
-    it went, so the batches of an account are handed over one after another, by one task
-    that holds a few messages at a time.  Accounts go side by side; a stop of the whole run
-    (paranoid) therefore ends the account it happens in, and the others by what is judged
-    afterwards.  ``rows`` has ``account_idx``, ``folder_idx`` and ``batch_id`` besides the
-    content; what is not handed over is not among the results.
+    it went.  It therefore goes in waves: in each, one task hands over the next few batches of
+    an account, one after another, and stops there by itself; between waves the results are
+    judged, and accounts that ended take no further part.  A task never has more than
+    ``run_batches`` batches, however large the account is, and a lost executor costs a wave.
+
+    Careful: accounts go side by side.  Paranoid: a batch that is delivered in part ends the
+    whole run, so all accounts form one line, in order, and a wave is one task.
+
+    ``rows`` has ``account_idx``, ``folder_idx`` and ``batch_id`` besides the content; what is
+    not handed over is not among the results.
     """
-    ship_package(rows.sparkSession)
-    order = ["account_idx", "account", "folder_idx", "folder", "batch_id", "uid"]
+    spark = rows.sparkSession
+    ship_package(spark)
+    batch = ["account_idx", "account", "folder_idx", "folder", "batch_id"]
+    line = ["account"] if mode == "careful" else ["_line"]
+    rows = rows.select(*batch, "uid", "msg_hash", *_raw(), F.lit(0).alias("_line"))
+    places = _batch_places(rows.select(*batch, "_line").distinct(), line)
+    places = places.select(*batch, F.expr(f"_place div {run_batches}").alias("_wave"))
+    # Content is laid out by wave once, so that each wave reads its own folder only.
+    laid_at = scratch_path(spark, "waves")
+    dealt = rows.join(places, batch).repartition("_wave", *line)
+    dealt.write.partitionBy("_wave").parquet(laid_at)
+    laid = spark.read.schema(dealt.schema).parquet(laid_at)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        account, unit, good, bad, ended = None, None, 0, 0, False
-        for batch in batches:
+        account, unit, good, bad, ended, over = None, None, 0, 0, False, False
+        for part in batches:
             results = []
-            for row in batch.itertuples(index=False):
-                now = (row.folder_idx, row.folder, row.batch_id)
-                if row.account != account:
-                    account, unit, good, bad, ended = row.account, now, 0, 0, False
-                elif now != unit:
-                    ended = ended or (bad > 0 and (good == 0 or mode == "paranoid"))
+            for row in part.itertuples(index=False):
+                now = (row.account, row.folder_idx, row.folder, row.batch_id)
+                if now != unit:
+                    if bad:
+                        ended = ended or good == 0
+                        over = over or (good > 0 and mode == "paranoid")
+                    if row.account != account:
+                        account, ended = row.account, False
                     unit, good, bad = now, 0, 0
-                if ended:
+                if ended or over:
                     continue
                 ok, detail = _handed(fn, row.header, row.body, row.msg_hash)
                 good, bad = good + ok, bad + (not ok)
-                results.append((row.account, row.folder, row.uid, ok, detail))
-            yield pd.DataFrame(results, columns=[*MESSAGE_KEY, "ok", "detail"])
-
-    narrow = rows.select(*order, "msg_hash", *_raw())
-    return narrow.repartition("account").sortWithinPartitions(*order).mapInPandas(run, _RESULT)
+                results.append((row.account_idx, row.account, row.folder_idx, row.folder, row.batch_id,
+                                row.uid, ok, detail))
+            yield pd.DataFrame(results, columns=[*batch, "uid", "ok", "detail"])
+
+    results, ended = None, None
+    for wave in range((places.agg(F.max("_wave")).first()[0] or 0) + 1):
+        turn = laid.filter(F.col("_wave") == wave)
+        if ended is not None:
+            turn = turn.join(ended, "account", "left_anti")
+        turn = turn.select(*batch, "uid", "msg_hash", "header", "body", "_line")
+        dealt = turn.repartition(*line).sortWithinPartitions(*batch, "uid").drop("_line")
+        done = materialise(dealt.mapInPandas(run, _HANDED), "wave")
+        results = done if results is None else results.unionByName(done)
+        per = done.groupBy("account", "folder", "batch_id").agg(
+            F.count_if("ok").alias("d"), F.count_if(~F.col("ok")).alias("u")).filter("u > 0")
+        if mode == "paranoid" and not per.filter("d > 0").isEmpty():
+            break
+        stopped = per.filter("d = 0").select("account").distinct()
+        if not stopped.isEmpty():
+            stopped = materialise(stopped, "ended")
+            ended = stopped if ended is None else ended.unionByName(stopped)
+    return results.select(*MESSAGE_KEY, "ok", "detail")
+
+
+def _batch_places(batches: DataFrame, line: list[str]) -> DataFrame:
+    """Add ``_place``: the position of each batch in its line, counted in blocks of folders and numbers."""
+    blocked = batches.withColumn("_block", F.expr(f"batch_id div {UID_BLOCK}"))
+    return number_rows(blocked, line, [["account_idx", "account"], ["folder_idx", "folder"], ["_block"]],
+                       ["batch_id"], "_place")
 
 
 def batch_summary(deliveries: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def resolve_delete_method(rows: DataFrame, accounts: DataFrame, method: str = "a
         return rows.withColumn("method", F.lit(method))
     hosts = accounts.select("account", F.col("host").alias("_host"))
     return (
-        attach(rows, hosts, ["account"])
+        attach(rows, hosts, ["account"], salt_by="uid" if "uid" in rows.columns else "folder")
         .withColumn("method", delete_method(F.col("_host"), F.col("folder")))
         .drop("_host")
     )
@@ -77,28 +77,35 @@ def close_folder(messages: DataFrame, folders: Column) -> DataFrame:
     return messages.filter(~(F.col("deleted") & folders))
 
 
-def gmail_trash(messages: DataFrame, condition: Column) -> DataFrame:
+def last_uids(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``account``, ``folder`` and ``uid``: the largest UID that a trash folder ever had.
+
+    ``known`` is such a table of before; mail it counted may be gone since.
+    """
+    rows = messages.filter(F.col("folder") == TRASH_FOLDER).select(*MESSAGE_KEY)
+    rows = rows if known is None else rows.unionByName(known.select(*MESSAGE_KEY))
+    return rows.groupBy(*FOLDER_KEY).agg(F.max("uid").alias("uid"))
+
+
+def gmail_trash(messages: DataFrame, condition: Column, used: DataFrame | None = None) -> DataFrame:
     """Label matching messages as trash and move them to the trash folder.
 
-    Moved messages get new UIDs there, after those already used, in order of
-    their old folder and UID.
+    Moved messages get new UIDs there, in order of their old folder and UID, after those in
+    the folder and after those in ``used`` (see :func:`last_uids`): without it, UIDs of an
+    emptied folder would be given out again.
     """
     moving = condition & (F.col("folder") != TRASH_FOLDER)
     stay = messages.filter(~moving).withColumn("labels", F.when(
         condition, _with_trash_label()).otherwise(F.col("labels")))
-    return stay.unionByName(_moved_to_trash(messages.filter(moving), messages))
+    return stay.unionByName(_moved_to_trash(messages.filter(moving), messages, used))
 
 
 def _with_trash_label() -> Column:
     return F.array_union("labels", F.array(F.lit(TRASH_LABEL)))
 
 
-def _moved_to_trash(moving: DataFrame, messages: DataFrame) -> DataFrame:
-    last_uid = (
-        messages.filter(F.col("folder") == TRASH_FOLDER)
-        .groupBy("account")
-        .agg(F.max("uid").alias("_base"))
-    )
+def _moved_to_trash(moving: DataFrame, messages: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    last_uid = last_uids(messages, used).select("account", F.col("uid").alias("_base"))
     moved = number_rows(
         moving.withColumn("_uid_block", F.expr(f"uid div {UID_BLOCK}")),
         ["account"],
@@ -116,15 +123,19 @@ def _moved_to_trash(moving: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def delete(
-    messages: DataFrame, condition: Column, method: str = "auto", accounts: DataFrame | None = None
+    messages: DataFrame, condition: Column, method: str = "auto", accounts: DataFrame | None = None,
+    used: DataFrame | None = None,
 ) -> DataFrame:
-    """Delete matching messages by one method, or by the one each folder calls for."""
+    """Delete matching messages by one method, or by the one each folder calls for.
+
+    ``used`` holds the UIDs that trash folders had, see :func:`gmail_trash`.
+    """
     if method == "delete":
         return expunge(messages, condition)
     if method == "delete-noexpunge":
         return flag_deleted(messages, condition)
     if method == "gmail-trash":
-        return gmail_trash(messages, condition)
+        return gmail_trash(messages, condition, used)
     if method != "auto" or accounts is None:
         raise ValueError(f"delete method must be one of {DELETE_METHODS}; auto needs accounts")
     # Only matching messages are looked up; the others are just passed on.
@@ -134,4 +145,4 @@ def delete(
     trashed = hits.filter("method = 'gmail-trash'").drop("method")
     expunged = hits.filter("method = 'delete'").drop("method")
     rest = _after_expunge(messages.filter(~condition), expunged)
-    return rest.unionByName(_moved_to_trash(trashed, messages))
+    return rest.unionByName(_moved_to_trash(trashed, messages, used))

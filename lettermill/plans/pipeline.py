@@ -30,7 +30,7 @@ from lettermill.plans.commands import (
     TableTarget,
     prepare,
 )
-from lettermill.schema import FOLDER_KEY, MESSAGE_KEY, OUTCOMES, TRASH_FOLDER, TRASH_LABEL
+from lettermill.schema import CONTENT_KEY, FOLDER_KEY, MESSAGE_KEY, OUTCOMES, TRASH_FOLDER, TRASH_LABEL
 from lettermill.session import attach, materialise, scratch_path
 from lettermill.sources.archive_table import (
     read_archive_index,
@@ -40,11 +40,14 @@ from lettermill.sources.archive_table import (
 from lettermill.sources.maildir import (
     add_names,
     discard_files,
-    maildir_names,
+    given_numbers,
+    keep_numbers,
     publish_files,
     write_tmp_files,
 )
 
+_HASHED_KEYS = 4_000_000
+_SOURCES = 20
 _OUTCOME_COLUMNS = [field.split()[0] for field in OUTCOMES.split(", ")]
 
 
@@ -58,12 +61,17 @@ class CatastrophicFailure(RuntimeError):
 
 @dataclass(frozen=True)
 class Mailbox:
-    """State of a mailbox.  Without ``contents``, messages carry header and body."""
+    """State of a mailbox.  Without ``contents``, messages carry header and body.
+
+    ``last_uids`` has the largest UIDs that trash folders ever had (``account``, ``folder``,
+    ``uid``), so that a run knows them after the mail is gone.
+    """
 
     accounts: DataFrame
     folders: DataFrame
     messages: DataFrame
     contents: DataFrame | None = None
+    last_uids: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -71,6 +79,7 @@ class Result:
     messages: DataFrame
     outcomes: DataFrame
     counts: DataFrame | None  # of count commands and dry runs
+    last_uids: DataFrame | None = None  # for the next run's mailbox
 
 
 @contextmanager
@@ -92,16 +101,35 @@ def _content_of(box: Mailbox, wanted: DataFrame, condition: Column, units: DataF
     """Key, header and body of the wanted messages that have content.
 
     Inline content is read where it lies: what is wanted are the messages of ``condition``
-    in the visited folders that have a size.
+    in the visited folders that have a size.  Stored content stays where it lies too if it is
+    bucketed by its key: only keys are sent to it.  Messages that know the batch they came
+    with (``origin_batch``) also say which files and row groups need not be read.
     """
     if box.contents is None:
         rows = box.messages.filter(condition & F.col("size").isNotNull())
         visited = attach(rows, units.select(*FOLDER_KEY), FOLDER_KEY, "left_semi")
         return visited.select(*MESSAGE_KEY, "header", "body")
-    keys = wanted.select(*MESSAGE_KEY, "origin_folder", "origin_uid")
-    return keys.join(box.contents, ["account", "origin_folder", "origin_uid"]).select(
-        *MESSAGE_KEY, "header", "body"
-    )
+    address = [*CONTENT_KEY, *(c for c in ("origin_batch",) if c in box.contents.columns)]
+    keys = wanted.select(*MESSAGE_KEY, *[c for c in address if c not in MESSAGE_KEY])
+    n, among = _extent(keys) if "origin_batch" in address else (keys.count(), F.lit(True))
+    if n <= _HASHED_KEYS:  # else sorted, which may spill
+        keys = keys.hint("shuffle_hash")
+    return keys.join(box.contents.filter(among), address).select(*MESSAGE_KEY, "header", "body")
+
+
+def _extent(keys: DataFrame) -> tuple[int, Column]:
+    """How many keys there are, and a condition on ``origin_batch`` that Parquet statistics can
+    decide for whole files: the range of batches of each source, or of all of them together
+    where there are many sources."""
+    facts = [F.min("origin_batch").alias("low"), F.max("origin_batch").alias("high"), F.count("*").alias("n")]
+    ranges = keys.groupBy(F.substring_index("origin_batch", "/", 1).alias("source")).agg(*facts)
+    found = ranges.limit(_SOURCES + 1).collect()
+    if len(found) > _SOURCES:
+        found = keys.agg(*facts).collect()
+    among = F.lit(False)
+    for row in found:
+        among = among | F.col("origin_batch").between(row["low"], row["high"])
+    return sum(row["n"] for row in found), among
 
 
 def _deliver(
@@ -152,13 +180,12 @@ def _deliver(
                 "overwrite").save()
             ready = ready.join(late, MESSAGE_KEY, "left_anti")
         placed = _in_order(ready, box)
-        named = add_names(
-            duplicate_number(placed, maildir_names(spark, target.path), stored=True), target.host
-        )
-        # Names are decided once, before the first file gets one.
-        published = materialise(
-            publish_files(materialise(named, "names"), target.path), "delivered"
-        )
+        earlier = given_numbers(spark, target.path, ready)
+        named = add_names(duplicate_number(placed, earlier, stored=True), target.host)
+        # Names are decided once, and noted, before the first file gets one.
+        named = materialise(named, "names")
+        keep_numbers(named, target.path)
+        published = materialise(publish_files(named, target.path), "delivered")
         return published.unionByName(failed)
 
 
@@ -190,6 +217,7 @@ class _Run:
         self.box, self.cycle_id, self.now_ns = box, cycle_id, now_ns
         self.spark = box.messages.sparkSession
         self.start = box.messages
+        self.last_uids = tr.last_uids(box.messages, box.last_uids)
         self.outcome_paths: list[str] = []
         self.counts: list[DataFrame] = []
         self.stopped: DataFrame | None = None  # accounts to leave alone
@@ -390,7 +418,9 @@ class _Run:
             "_moved_at", F.when(to_trash, F.col("folder_idx"))
         ).drop("folder_idx")
         has_trash = not allowed.filter(trashing).isEmpty()
-        moved = tr.gmail_trash(flagged, F.col("_moved_at").isNotNull()) if has_trash else flagged
+        moved = flagged
+        if has_trash:
+            moved = tr.gmail_trash(flagged, F.col("_moved_at").isNotNull(), self.last_uids)
 
         trash_units = allowed.filter(in_trash).drop("folder", "host", "command_idx")
         again = attach(moved.drop("method").filter(in_trash), trash_units, ["account"])
@@ -412,12 +442,14 @@ class _Run:
         )
         self.record(stored.filter("status is not null"), idx, "delete")
         self.set_messages(stored.select(*columns))
+        if has_trash:  # the folder may be emptied when it is closed
+            self.last_uids = materialise(tr.last_uids(stored, self.last_uids), "last-uids")
 
     def result(self) -> Result:
         counts = None
         for part in self.counts:
             counts = part if counts is None else counts.unionByName(part)
-        return Result(self.box.messages, self.outcomes(), counts)
+        return Result(self.box.messages, self.outcomes(), counts, self.last_uids)
 
     def undo_later_accounts(self) -> None:
         """Accounts after the one a run ended at were never reached."""
@@ -467,18 +499,27 @@ def fetch(box: Mailbox, command: Fetch, now: dt.datetime | int, cycle_id: int =
     return run_pipeline(box, [command], now, cycle_id)
 
 
-def dry_run_lines(counts: DataFrame, command: Command, now: dt.datetime | int) -> DataFrame:
-    """``dry-run: not …`` lines for a command whose counts were taken."""
+def dry_run_lines(
+    counts: DataFrame, command: Command, now: dt.datetime | int, accounts: DataFrame | None = None
+) -> DataFrame:
+    """``dry-run: not …`` lines for a command whose counts were taken.
+
+    For an automatic delete, ``accounts`` tells where mail would be moved to the trash.
+    """
     text = command.effective_filter().bind(now).render()
-    verbs = {
-        "mark": f"marking as {(command.mark_name() or '').upper()}",
-        "fetch": "fetching",
-        "delete": "deleting",
-    }
-    return counts.filter(F.col("command") == command.kind).select(
+    rows = counts.filter(F.col("command") == command.kind)
+    if command.kind == "delete":
+        rows = tr.resolve_delete_method(rows, accounts, command.method) if accounts is not None else (
+            rows.withColumn("method", F.lit(command.method)))
+        verb = F.when(F.col("method") == "gmail-trash", "moving").otherwise("deleting")
+        where = F.when(F.col("method") == "gmail-trash", F.lit(f" to `{TRASH_FOLDER}`")).otherwise("")
+    else:
+        verb = F.lit("fetching" if command.kind == "fetch" else f"marking as {(command.mark_name() or '').upper()}")
+        where = F.lit("")
+    return rows.select(
         "account_idx", "folder_idx",
         F.format_string(
-            f"dry-run: not {verbs[command.kind]} %d messages matching %s from folder `%s`",
-            F.col("n"), F.lit(text), F.col("folder"),
+            "dry-run: not %s %d messages matching %s from folder `%s`%s",
+            verb, F.col("n"), F.lit(text), F.col("folder"), where,
         ).alias("line"),
     )

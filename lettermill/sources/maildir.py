@@ -5,6 +5,19 @@ in ``tmp/``; then, when every message of the fetch is written and has its
 name, the files are linked into ``new/``.  Nothing is visible before that, no
 name is ever overwritten, and only names, never content, move between tasks.
 The directory must be on a file system that all executors mount at one path.
+
+:func:`write_maildir` keeps a journal in ``tmp/``.  Its name says how far a write has come:
+
+``IAP_….link``    all content is written; its names are being linked
+``IAP_….undo``    a name could not be linked; all links are being taken back
+``IAP_….clear``   all names are linked; the files in ``tmp/`` are being removed
+
+A journal holds the listings of the tasks, one name for each; every step is a job over these
+listings that may be done again.  When the driver dies, :func:`finish_maildir`, which the next
+write calls first, ends what it was at: everything is shown in the end, or nothing.
+
+Names that were given out are also kept in ``numbers/``, a table by hash, so that numbering
+looks up the contents at hand and lists nothing.
 """
 
 from __future__ import annotations
@@ -207,10 +220,47 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def maildir_names(spark: SparkSession, path: str) -> DataFrame:
-    """(msg_hash, dup_no) of the files of a Maildir that carry such names."""
+    """(msg_hash, dup_no) of the files of a Maildir that carry such names, by listing it."""
     return _named(list_maildir(spark, path)).filter("msg_hash <> ''").select("msg_hash", "dup_no")
 
 
+_NUMBERS = "msg_hash STRING, dup_no BIGINT"
+
+
+def given_numbers(spark: SparkSession, path: str, hashes: DataFrame | None = None) -> DataFrame:
+    """(msg_hash, dup_no): the largest number that each content has had in a Maildir.
+
+    Only what ``hashes`` (msg_hash) has, if given: the table is stored by the first two digits
+    of the hash, and other digits are not read.  The first call lists the Maildir; if names of
+    this form are added by others later, :func:`renumber_maildir` lists it again.
+    """
+    place = f"file:{make_maildir(path)}/numbers"
+    if not os.path.exists(f"{make_maildir(path)}/numbers/_SUCCESS"):
+        renumber_maildir(spark, path)
+    rows = spark.read.schema(f"{_NUMBERS}, prefix STRING").parquet(place)
+    if hashes is not None:
+        wanted = hashes.select("msg_hash", F.substring("msg_hash", 1, 2).alias("prefix")).distinct()
+        rows = rows.join(wanted, ["prefix", "msg_hash"], "left_semi")
+    return rows.groupBy("msg_hash").agg(F.max("dup_no").alias("dup_no"))
+
+
+def renumber_maildir(spark: SparkSession, path: str) -> None:
+    """Make the table of given numbers anew from a listing of the Maildir."""
+    _keep_numbers(maildir_names(spark, path), path, "overwrite")
+
+
+def keep_numbers(named: DataFrame, path: str) -> None:
+    """Note numbers before their files are shown; one that is not used after all leaves a gap."""
+    given_numbers(named.sparkSession, path)  # there is a table
+    _keep_numbers(named, path, "append")
+
+
+def _keep_numbers(rows: DataFrame, path: str, mode: str) -> None:
+    largest = rows.groupBy("msg_hash").agg(F.max("dup_no").cast("bigint").alias("dup_no"))
+    largest.withColumn("prefix", F.substring("msg_hash", 1, 2)).hint("rebalance", "prefix").write.mode(
+        mode).partitionBy("prefix").parquet(f"file:{make_maildir(path)}/numbers")
+
+
 def ingest_maildir(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """Messages of a Maildir with name, hash, duplicate number, header and body.
 
@@ -263,19 +313,19 @@ class _Written(WriterCommitMessage):
 
 
 class _MaildirWriter(DataSourceArrowWriter):
-    """Tasks fill ``tmp/`` and list what they wrote; the commit of the job shows the files.
+    """Tasks fill ``tmp/`` and list what they wrote; the commit of the job makes it the journal.
 
-    When a task or a name fails, nothing stays in ``new/`` or ``tmp/``.
+    When a task fails, nothing stays in ``tmp/``.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, journal: str):
+        self.path, self.journal = path, journal
 
     def write(self, iterator) -> WriterCommitMessage:
         root, host = make_maildir(self.path), socket.gethostname()
-        listing = os.path.join(root, "tmp", f"IAP_{uuid.uuid4().hex}.list")
+        listing = f"IAP_{uuid.uuid4().hex}.list"
         try:
-            with open(listing, "x", encoding="utf-8") as out:
+            with open(os.path.join(root, "tmp", listing), "x", encoding="utf-8") as out:
                 for batch in iterator:
                     rows = batch.to_pydict()
                     raw = [bytes(h) + bytes(b) for h, b in zip(rows["header"], rows["body"])]
@@ -286,57 +336,123 @@ class _MaildirWriter(DataSourceArrowWriter):
                     failed = [error for _, error in written if error]
                     if failed:
                         raise OSError(f"{len(failed)} messages not written: {failed[0]}")
+                out.flush()
+                os.fsync(out.fileno())
         except BaseException:
             _drop(root, listing)
             raise
         return _Written(listing)
 
     def commit(self, messages) -> None:
-        """Link name by name; the listings are read as streams."""
-        root = os.path.expanduser(self.path)
-        listings = [m.listing for m in messages if m is not None]
-        shown = os.path.join(root, "tmp", f"IAP_{uuid.uuid4().hex}.shown")
-        try:
-            with open(shown, "x", encoding="utf-8") as done:
-                for tmp, name in itertools.chain.from_iterable(map(_listed, listings)):
-                    error = _publish(root, tmp, name)
-                    if error:
-                        raise OSError(error)
-                    done.write(f"{tmp}\t{name}\n")
-            _sync_directory(os.path.join(root, "new"))
-        except BaseException:
-            for _, name in _listed(shown):
-                _unlink(os.path.join(root, "new", name))
-            self.abort(messages)
-            raise
-        finally:
-            _unlink(shown)
-        for listing in listings:
-            _unlink(listing)
+        """From here on the write is finished by whoever comes next."""
+        tmp = os.path.join(os.path.expanduser(self.path), "tmp")
+        with open(os.path.join(tmp, f"{self.journal}.new"), "x", encoding="utf-8") as out:
+            out.writelines(f"{m.listing}\n" for m in messages if m is not None)
+            out.flush()
+            os.fsync(out.fileno())
+        os.rename(os.path.join(tmp, f"{self.journal}.new"), os.path.join(tmp, f"{self.journal}.link"))
+        _sync_directory(tmp)
 
     def abort(self, messages) -> None:
-        root = os.path.expanduser(self.path)
         for message in messages:
             if message is not None:
-                _drop(root, message.listing)
+                _drop(os.path.expanduser(self.path), message.listing)
 
 
-def _listed(listing: str) -> Iterator[list[str]]:
-    if os.path.exists(listing):
-        with open(listing, encoding="utf-8") as lines:
+def _listed(root: str, listing: str) -> Iterator[list[str]]:
+    """Pairs of names; none if the listing is gone, because its step was done before."""
+    with suppress(FileNotFoundError):
+        with open(os.path.join(root, "tmp", listing), encoding="utf-8") as lines:
             for line in lines:
                 yield line.rstrip("\n").split("\t")
 
 
 def _drop(root: str, listing: str) -> None:
     """Remove the files of a listing that are still in ``tmp/``, and the listing."""
-    for tmp, _ in _listed(listing):
+    for tmp, _ in _listed(root, listing):
         _unlink(os.path.join(root, "tmp", tmp))
-    _unlink(listing)
+    _unlink(os.path.join(root, "tmp", listing))
+
+
+def _link_listing(root: str, listing: str) -> str | None:
+    """Link all names of a listing; the first error, if any.  Names that are linked stay so."""
+    first = None
+    for tmp, name in _listed(root, listing):
+        source, target = os.path.join(root, "tmp", tmp), os.path.join(root, "new", name)
+        try:
+            os.link(source, target)
+        except FileExistsError:
+            if not os.path.samefile(source, target):
+                first = first or f"name is taken: {name}"
+        except OSError as exc:
+            first = first or str(exc)
+    try:
+        _sync_directory(os.path.join(root, "new"))
+    except OSError as exc:
+        first = first or f"failed to sync: {exc}"
+    return first
+
+
+def _unlink_listing(root: str, listing: str) -> None:
+    """Take back the names of a listing that lead to its own files, then the files."""
+    for tmp, name in _listed(root, listing):
+        with suppress(FileNotFoundError):
+            if os.path.samefile(os.path.join(root, "tmp", tmp), os.path.join(root, "new", name)):
+                _unlink(os.path.join(root, "new", name))
+    _drop(root, listing)
+
+
+_STEPS = {"link": _link_listing, "undo": _unlink_listing, "clear": _drop}
+
+
+def _step(spark: SparkSession, root: str, journal: str, step: str) -> str | None:
+    """Do one step for all listings of a journal, side by side; the first error."""
+    do = _STEPS[step]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"error": [do(root, listing) for listing in batch["value"]]}, dtype=object)
+
+    # the journal is a text file of one line a task
+    listings = spark.read.text(f"file:{root}/tmp/{journal}.{step}")
+    tasks = max(1, listings.count())
+    errors = listings.repartition(tasks, "value").mapInPandas(run, "error string")
+    return errors.agg(F.min("error")).first()[0]
+
+
+def _finish(spark: SparkSession, root: str, journal: str, step: str) -> str | None:
+    """Bring a write from ``step`` to its end; the error that made it be taken back."""
+    tmp, error = os.path.join(root, "tmp"), None
+    if step == "link":
+        error = _step(spark, root, journal, step)
+        step = "undo" if error else "clear"
+        os.rename(os.path.join(tmp, f"{journal}.link"), os.path.join(tmp, f"{journal}.{step}"))
+        _sync_directory(tmp)
+    _step(spark, root, journal, step)
+    _unlink(os.path.join(tmp, f"{journal}.{step}"))
+    return error
+
+
+def finish_maildir(spark: SparkSession, path: str) -> dict[str, str | None]:
+    """End writes whose driver died after all content was written; journal and error of each.
+
+    Not for use while another application writes to the same Maildir.
+    """
+    ship_package(spark)
+    root, found = make_maildir(path), {}
+    with os.scandir(os.path.join(root, "tmp")) as entries:
+        open_ones = sorted(e.name for e in entries if e.name.endswith(tuple(f".{s}" for s in _STEPS)))
+    for name in open_ones:  # one for each write that was interrupted
+        journal, step = name.rsplit(".", 1)
+        found[journal] = _finish(spark, root, journal, step)
+    return found
 
 
 class MaildirDataSource(DataSource):
-    """``df.write.format("maildir")`` for rows with name, header and body."""
+    """``df.write.format("maildir")`` for rows with name, header and body.
+
+    This is the first half of :func:`write_maildir`; :func:`finish_maildir` shows the files.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -345,16 +461,26 @@ class MaildirDataSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("a Maildir is only ever added to")
-        return _MaildirWriter(self.options["path"])
+        return _MaildirWriter(self.options["path"], self.options.get("journal") or f"IAP_{uuid.uuid4().hex}")
 
 
 def write_maildir(named: DataFrame, path: str) -> None:
-    """Write rows that already have unique names (see ``add_names``)."""
+    """Write rows that already have unique names (see ``add_names``): all of them, or none.
+
+    No task and no driver goes through all names: each of the writing tasks lists its own, and
+    the steps after that are jobs over the listings.  A write that an earlier driver left
+    behind is ended first.
+    """
     spark = named.sparkSession
     ship_package(spark)
-    make_maildir(path)
+    root = make_maildir(path)
+    finish_maildir(spark, path)
     spark.dataSource.register(MaildirDataSource)
+    journal = f"IAP_{uuid.uuid4().hex}"
     named.select(
         "name", F.col("header").cast("binary").alias("header"),
         F.col("body").cast("binary").alias("body"),
-    ).write.format("maildir").mode("append").save(os.path.expanduser(path))
+    ).write.format("maildir").mode("append").option("journal", journal).save(root)
+    error = _finish(spark, root, journal, "link")
+    if error:
+        raise OSError(error)

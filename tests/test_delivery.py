@@ -131,3 +131,35 @@ def test_reconcile(spark):
     got = {r.msg_hash: (r.copies_a, r.copies_b, r.side) for r in reconcile_archives(a, b).collect()}
     assert got == {"x": (2, 1, "both"), "y": (1, 0, "only_a"), "z": (0, 1, "only_b")}
     assert {(r.msg_hash, r.uid) for r in oldest_copies(a, ["uid"]).collect()} == {("x", 1), ("y", 3)}
+
+
+def _calls(path):
+    return sorted(open(path, encoding="utf-8").read().split()) if path.exists() else []
+
+
+def test_waves_stop_where_one_task_after_another_would(spark, tmp_path):
+    """One account has nine tenths of the rows; it is delivered by many tasks, and nothing is
+    handed over after a stop, in the account (careful) or in the run (paranoid)."""
+    rows = [(0, "big", 0, "INBOX", k // 3, k, k) for k in range(90)]
+    rows += [(1, "small", 0, "INBOX", k // 3, k, 1000 + k) for k in range(9)]
+    table = spark.createDataFrame(
+        rows, "account_idx int, account string, folder_idx int, folder string, batch_id bigint, uid bigint, n long")
+    table = table.select("*", F.lit("").alias("header"), F.col("n").cast("string").alias("body"),
+                         F.col("n").cast("string").alias("msg_hash"))
+
+    def refusing(bad, log):
+        def fn(raw, digest):
+            with open(log, "a", encoding="utf-8") as out:
+                out.write(f"{int(raw)}\n")
+            return int(raw) not in bad
+        return fn
+
+    whole, part = {30, 31, 32}, {31}  # batch 10 of the large account
+    for mode, bad, called in (
+        ("careful", whole, 33 + 9), ("careful", part, 99), ("paranoid", whole, 33 + 9), ("paranoid", part, 33),
+    ):
+        log = tmp_path / f"{mode}-{len(bad)}"
+        got = dlv.deliver_in_turn(table, refusing(bad, log), mode, run_batches=4).collect()
+        assert len(_calls(log)) == len(got) == called
+        assert {(r.account, r.uid) for r in got if not r.ok} == {("big", b) for b in bad}
+    assert dlv.deliver_in_turn(table.limit(0), lambda raw, digest: 0, "careful").count() == 0

@@ -149,3 +149,52 @@ def test_failed_write_leaves_no_file(tmp_path, monkeypatch):
     monkeypatch.setattr(md, "open", Full, raising=False)
     assert md._write_tmp(root, [b"x", b"y"], "host") == [(None, "no space left")] * 2
     assert files(root, "tmp") == []
+
+
+def _named_mail(spark, n=20):
+    clean = dlv.clean_content(mailbox(spark, [message("a", "INBOX", i) for i in range(n)]).messages)
+    return clean.withColumn("name", F.concat(F.lit("m"), "uid")).repartition(4)
+
+
+@pytest.mark.parametrize("died_in", ["link", "undo", "clear"])
+def test_next_write_ends_what_a_dead_driver_left(spark, tmp_path, monkeypatch, died_in):
+    """The driver dies in the middle of a step, after some listings were gone through."""
+    path = str(tmp_path / "mail")
+    md.make_maildir(path)
+    if died_in == "undo":
+        (tmp_path / "mail" / "new" / "m13").write_text("precious")
+
+    def half(spark, root, journal, step, real=md._step):
+        if step != died_in:
+            return real(spark, root, journal, step)
+        with open(f"{root}/tmp/{journal}.{step}") as listings:
+            md._STEPS[step](root, listings.readline().strip())
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(md, "_step", half)
+        with pytest.raises(KeyboardInterrupt):
+            md.write_maildir(_named_mail(spark), path)
+    assert len(files(path, "tmp")) > 0
+    md.write_maildir(_named_mail(spark).withColumn("name", F.concat(F.lit("later"), "uid")), path)
+    later = {f"later{k}" for k in range(20)}
+    assert set(files(path)) == later | ({"m13"} if died_in == "undo" else {f"m{k}" for k in range(20)})
+    assert files(path, "tmp") == [] and md.finish_maildir(spark, path) == {}
+    if died_in == "undo":
+        assert (tmp_path / "mail" / "new" / "m13").read_text() == "precious"
+
+
+def test_numbers_are_looked_up_without_a_listing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "mail")
+    box = mailbox(spark, [message("a", "INBOX", 1), message("a", "INBOX", 2), message("a", "INBOX", 3, body=b"x")])
+    fetch = Fetch(target=MaildirTarget(path, "host"))
+    run_pipeline(box, [fetch], NOW)
+    monkeypatch.setattr(md, "list_maildir", None)  # would fail
+    for name in files(path):
+        os.unlink(os.path.join(path, "new", name))
+    run_pipeline(box, [fetch], NOW)
+    assert sorted(n.split("_")[2].split(".")[0] for n in files(path)) == ["1", "2", "3"]
+    hashes = dlv.clean_content(box.messages).select("msg_hash")
+    assert {r.dup_no for r in md.given_numbers(spark, path, hashes.limit(1)).collect()} <= {1, 3}
+    plan = md.given_numbers(spark, path, hashes)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower() or "Broadcast" in plan or "prefix" in plan
