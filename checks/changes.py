@@ -122,11 +122,11 @@ select account, folder, batch_id, uid,
 
 
 @query(_JUDGED_CAREFUL + """, failing as (select * from stops where u > 0 and not late)
-select account, folder, batch_id, 'failed to deliver '||u||
-  case when u=1 then ' message' else ' messages' end||' via `disk`' detail from failing
+select account, folder, batch_id, u||
+  case when u=1 then ' message' else ' messages' end||' not delivered to `disk`' detail from failing
 union all
-select account, folder, batch_id, 'failed to deliver any messages, aborting this `fetch` and any '
-  ||'following commands' from failing where d = 0""", name="delivery_errors")
+select account, folder, batch_id, 'nothing of a batch was delivered: '
+  ||'the rest of this fetch and later commands of the account are left out' from failing where d = 0""", name="delivery_errors")
 def _delivery_errors(spark, sf_dir):
     judged = dlv.judge_batches(dlv.batch_summary(oc.deliveries(spark, sf_dir)), "careful")
     return dlv.delivery_errors(judged, "disk").select("account", "folder", "batch_id", "detail")
@@ -366,12 +366,12 @@ def _said(column: str, one: str, many: str) -> str:
 
 @query(f"""with {oc.OUTCOMES_SQL},
 t as (select {_COUNTERS_SQL} from outcomes)
-select *, concat_ws(', ', {_said('delivered', 'fetched %d new message', 'fetched %d new messages')},
-    {_said('marked', 'marked %d message', 'marked %d messages')},
-    {_said('trashed', 'trashed %d message', 'trashed %d messages')},
-    {_said('deleted', 'deleted %d message', 'deleted %d messages')}) good,
-  concat_ws(', ', {_said('undelivered', 'failed to fetch %d message', 'failed to fetch %d messages')},
-    {_said('errors', 'produced %d new error', 'produced %d new errors')}) bad
+select *, concat_ws(', ', {_said('delivered', '%d new message fetched', '%d new messages fetched')},
+    {_said('marked', '%d message marked', '%d messages marked')},
+    {_said('trashed', '%d message put into the trash', '%d messages put into the trash')},
+    {_said('deleted', '%d message deleted', '%d messages deleted')}) good,
+  concat_ws(', ', {_said('undelivered', '%d message not fetched', '%d messages not fetched')},
+    {_said('errors', '%d error', '%d errors')}) bad
 from t""", name="cycle_summary")
 def _cycle_summary(spark, sf_dir):
     return rep.cycle_summary(oc.outcomes(spark, sf_dir))
@@ -383,15 +383,12 @@ t as (select account_idx, account, command_idx, command, folder_idx, folder, {_C
 lines as (
   select account_idx, account, command_idx, folder_idx, '`'||folder||'`: '||
     case when command='fetch' then
-      case when delivered = marked then 'fetched and marked '||delivered||
-          case when delivered=1 then ' message' else ' messages' end
-        else 'fetched '||delivered||' but marked '||marked||
-          case when greatest(delivered, marked)=1 then ' message' else ' messages' end end
-    when command='mark' then 'marked '||marked||
-      case when marked=1 then ' message' else ' messages' end
-    when trashed > 0 then 'trashed '||trashed||
-      case when trashed=1 then ' message' else ' messages' end
-    else 'deleted '||deleted||case when deleted=1 then ' message' else ' messages' end end line
+      case when delivered = marked then delivered||
+          case when delivered=1 then ' message' else ' messages' end||' fetched and marked'
+        else delivered||' fetched, '||marked||' of them marked' end
+    when command='mark' then marked||case when marked=1 then ' message' else ' messages' end||' marked'
+    when trashed > 0 then trashed||case when trashed=1 then ' message' else ' messages' end||' put into the trash'
+    else deleted||case when deleted=1 then ' message' else ' messages' end||' deleted' end line
   from t where (command='fetch' and delivered > 0) or (command='mark' and marked > 0)
     or trashed > 0 or deleted > 0)"""
 

@@ -488,16 +488,16 @@ survived as (select * from mails where not {_OLD}),
 still as (select * from survived where not cast(internal_date as date) < date '2024-01-03')
 select 'kept' what, account, folder, count(*) n from still group by all
 union all
-select 'cycle 0: fetched '||(select count(*) from mails where not seen)||' new messages, marked '
-  ||(select count(*) from mails where not seen)||' messages, trashed '
+select 'cycle 0: '||(select count(*) from mails where not seen)||' new messages fetched, '
+  ||(select count(*) from mails where not seen)||' messages marked, '
   ||(select count(*) from mails where {_OLD} and host='imap.gmail.com' and folder<>'[Gmail]/Trash')
-  ||' messages, deleted '||(select count(*) from mails where {_OLD})||' messages', '', '', 0
+  ||' messages put into the trash, '||(select count(*) from mails where {_OLD})||' messages deleted', '', '', 0
 union all
-select 'cycle 1: trashed '||(select count(*) from survived
+select 'cycle 1: '||(select count(*) from survived
     where cast(internal_date as date) < date '2024-01-03'
     and host='imap.gmail.com' and folder<>'[Gmail]/Trash')
-  ||' messages, deleted '||(select count(*) from survived
-    where cast(internal_date as date) < date '2024-01-03')||' messages', '', '', 0""")
+  ||' messages put into the trash, '||(select count(*) from survived
+    where cast(internal_date as date) < date '2024-01-03')||' messages deleted', '', '', 0""")
 def cycles(spark, sf_dir):
     """Mail arrives as a stream and is fetched and expired; a day later a
     cycle without any new mail expires what has aged since."""

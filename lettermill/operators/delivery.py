@@ -30,7 +30,9 @@ _IN_RUN = ["account_idx", *_IN_ACCOUNT]
 # batches that one task of a careful or paranoid delivery hands over at most
 RUN_BATCHES = 64
 
-ABORTED = "failed to deliver any messages, aborting this `fetch` and any following commands"
+ABORTED = (
+    "nothing of a batch was delivered: the rest of this fetch and later commands of the account are left out"
+)
 
 
 def clean_content(rows: DataFrame) -> DataFrame:
@@ -230,8 +232,7 @@ def delivery_outcome(
 
 def delivery_errors(judged: DataFrame, target: str) -> DataFrame:
     """Error rows of batches: one per failing batch, one more per stop."""
-    failed = plural(F.col("u"), f"failed to deliver %d message via `{target}`",
-                    f"failed to deliver %d messages via `{target}`")
+    failed = plural(F.col("u"), f"%d message not delivered to `{target}`", f"%d messages not delivered to `{target}`")
     details = F.array_compact(F.array(failed, F.when(F.col("stops"), F.lit(ABORTED))))
     return judged.filter((F.col("u") > 0) & ~F.col("late")).select(
         *_UNIT, F.explode(details).alias("detail")
@@ -251,7 +252,7 @@ def missing_responses(requested: DataFrame, returned: DataFrame) -> tuple[DataFr
     )
     undelivered = requested.join(broken, chunk, "left_semi").withColumn("status", F.lit("failed"))
     errors = broken.withColumn("status", F.lit("error")).withColumn(
-        "detail", F.lit("IMAP FETCH command failed: the result does not have all requested messages")
+        "detail", F.lit("a request was not answered for all of its messages")
     )
     return undelivered, errors
 
@@ -263,6 +264,6 @@ def conflicts(responses: DataFrame, required: list[str]) -> tuple[DataFrame, Dat
         complete = complete & F.col(name).isNotNull()
     bad = responses.filter(~complete).withColumn("status", F.lit("conflict")).withColumn(
         "detail",
-        F.lit("another client is performing potentially conflicting actions in parallel with us"),
+        F.lit("the message was changed or removed by someone else meanwhile"),
     )
     return responses.filter(complete), bad

@@ -55,7 +55,7 @@ class CatastrophicFailure(RuntimeError):
     """A paranoid fetch delivered only a part of a batch; the run ended there."""
 
     def __init__(self, result: "Result"):
-        super().__init__("failed to deliver messages in paranoid mode")
+        super().__init__("a batch was delivered in part, in paranoid mode")
         self.result = result
 
 
@@ -388,8 +388,7 @@ class _Run:
         kept = guarded.filter("guarded").withColumn("status", F.lit("error")).withColumn(
             "detail",
             F.concat(
-                F.lit("one of the previous commands reported issues: not deleting from folder `"),
-                F.col("folder"), F.lit("`"),
+                F.lit("errors earlier in this run: nothing deleted in folder `"), F.col("folder"), F.lit("`"),
             ),
         )
         self.record(kept, idx, "delete")

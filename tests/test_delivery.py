@@ -46,8 +46,8 @@ def test_stop_scopes(spark):
         6: "not_attempted", 7: "not_attempted"}
     judged = dlv.judge_batches(dlv.batch_summary(spark.createDataFrame(rows, _SCHEMA)), "careful")
     assert sorted((r.account, r.detail) for r in dlv.delivery_errors(judged, "x").collect()) == [
-        ("a", "failed to deliver 1 message via `x`"), ("a", dlv.ABORTED),
-        ("b", "failed to deliver 1 message via `x`")]
+        ("a", "1 message not delivered to `x`"), ("a", dlv.ABORTED),
+        ("b", "1 message not delivered to `x`")]
 
 
 def test_deliver_isolates_failures(spark):

@@ -42,7 +42,7 @@ def test_fetch_into_archive_continues_numbers(spark, tmp_path):
     assert rows.count() == 6
     assert rows.filter(F.sha2(F.concat("header", "body"), 256) != F.col("msg_hash")).count() == 0
     assert change_log(first.outcomes, box.accounts).orderBy("account_idx").first()["text"] == (
-        "user-a on imap.example.com:\n- `INBOX`: fetched and marked 1 message")
+        "user-a on imap.example.com:\n- `INBOX`: 1 message fetched and marked")
 
 
 def test_content_in_its_own_table(spark, tmp_path):
@@ -57,7 +57,7 @@ def test_content_in_its_own_table(spark, tmp_path):
     assert ("a", "INBOX", 2, "conflict") in statuses(result)
     assert keys(result.messages) == [("a", "INBOX", 1), ("a", "INBOX", 2)]
     summary = cycle_summary(result.outcomes).first()
-    assert summary["good"] == "fetched 2 new messages, marked 2 messages, deleted 1 message"
+    assert summary["good"] == "2 new messages fetched, 2 messages marked, 1 message deleted"
     assert (summary["undelivered"], summary["errors"]) == (0, 4)
 
 
@@ -76,7 +76,7 @@ def test_careful_stop_ends_the_account(spark):
     assert result.messages.count() == 5  # both accounts had errors: no deletes
     lines = error_log(result.outcomes, mailbox(spark, rows).accounts).filter("account = 'a'")
     assert {r.line for r in lines.collect()} == {
-        "- failed to deliver 1 message via `fn`", f"- {ABORTED}"}
+        "- 1 message not delivered to `fn`", f"- {ABORTED}"}
 
 
 def test_yolo_goes_on(spark):
