@@ -27,6 +27,9 @@ _LONGS = BINS // _PACKED
 _BIN_SHIFT = 63 - int(math.log2(BINS))
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_BUCKETS = 16_384
+#: An id with more rows than this, and than one in ``MOST_HOT`` of all, is divided.
+HOT_ROWS = 50_000
+MOST_HOT = 1_000
 
 
 def _bound(value: Column, use) -> Column:
@@ -136,9 +139,10 @@ def with_next(docs: DataFrame, columns: dict[str, Column], doc_id: str = "doc_id
     follows in descending ``doc_id`` order, nulls last; the first one follows the last.
 
     Ids are whole numbers; other types raise ``TypeError``.  Rows of one id are ordered by a
-    hash of their text.  Ids are cut into buckets of about
+    hash of their text, and equal rows follow each other.  Ids are cut into buckets of about
     equal numbers of rows, so the texts are shuffled once; the first row of each bucket, the
-    only one that another bucket asks for, is read again.
+    only one that another bucket asks for, is read again.  An id (or null) with very many rows
+    has buckets of its own, by ranges of the hash, and very many equal rows go as one.
     """
     rows = docs.select(whole_ids(docs, doc_id).alias("doc_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -152,6 +156,7 @@ def with_next(docs: DataFrame, columns: dict[str, Column], doc_id: str = "doc_id
     last = len(bounds) + 1
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), last).otherwise(_bucket(F.col("doc_id"), bounds)))
     rows = rows.withColumn("content", F.xxhash64("text"))
+    rows, copies = _divide_hot_ids(rows)
     names = ["doc_id", "text", *columns]
 
     # first row of each bucket, and which bucket comes before it
@@ -170,8 +175,54 @@ def with_next(docs: DataFrame, columns: dict[str, Column], doc_id: str = "doc_id
     led = rows.withColumns(columns).withColumns(
         {f"_next_{c}": F.lead(c).over(order) for c in names} | {"_inside": F.lead(F.lit(True)).over(order)})
     joined = led.join(first, "bucket")
+    inside = F.col("_inside")
+    if copies:  # all but the last of equal rows are followed by their like
+        joined = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        last_one = F.col("_nth") == F.col("copies")
+    else:
+        last_one = F.lit(True)
     return joined.select(*names, *(
-        F.when(F.col("_inside"), F.col(f"_next_{c}")).otherwise(F.col(f"_first_{c}")).alias(f"next_{c}") for c in names))
+        F.when(~last_one, F.col(c)).when(inside, F.col(f"_next_{c}")).otherwise(F.col(f"_first_{c}")).alias(f"next_{c}")
+        for c in names))
+
+
+def _divide_hot_ids(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` with finer buckets where an id has very many rows; and whether equal rows were put
+    into one with ``copies``.
+
+    What comes to the driver are at most ``MOST_HOT`` ids and as many texts' hashes.
+    """
+    least = max(HOT_ROWS, rows.count() // MOST_HOT)
+    found = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
+    if not found:
+        return rows, False
+    found.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
+    hot = [r.doc_id for r in found]
+    known = [h for h in hot if h is not None]
+    parts = [-(-r.n // least) for r in found]
+    wide = max(parts) + 1
+    own = F.col("doc_id").isin(known) if known else F.lit(False)
+    if None in hot:
+        own = own | F.col("doc_id").isNull()
+    own = F.coalesce(own, F.lit(False))
+    listed = F.array(*[F.lit(h).cast("long") for h in known]).cast("array<bigint>")
+    before = F.when(F.col("doc_id").isNull(), len(known)).otherwise(
+        F.size(F.filter(listed, lambda h: h > F.col("doc_id"))))
+    share = F.least(F.greatest(F.lit(0.5) - F.col("content") / F.lit(2.0**64), F.lit(0.0)), F.lit(1.0))
+    mine = F.get(F.array(*map(F.lit, parts)), before)
+    part = F.least(F.floor(share * mine), mine - 1)
+    fine = before * wide + F.when(own, part + 1).otherwise(0)
+    rows = rows.withColumn("bucket", F.col("bucket").cast("long") * ((len(hot) + 1) * wide) + fine)
+
+    twins = rows.where(own).groupBy("doc_id", "content").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    twins = [(r.doc_id, r.content, r.n) for r in twins.collect()]
+    if not twins:
+        return rows, False
+    table = rows.sparkSession.createDataFrame(twins, "_id long, _content long, copies int")
+    marked = rows.join(F.broadcast(table), rows["doc_id"].eqNullSafe(table["_id"]) & (
+        rows["content"] == table["_content"]), "left").drop("_id", "_content")
+    one = marked.where("copies is not null").dropDuplicates(["doc_id", "content"])
+    return marked.where("copies is null").withColumn("copies", F.lit(1)).unionByName(one), True
 
 
 def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

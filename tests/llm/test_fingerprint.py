@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tables import no_docs, odd_docs
 
 import __spark_entry__ as entry
+from lettermill.llm import fingerprint
 from lettermill.llm.fingerprint import BINS, code_hex, edited_likeness, fingerprints, likeness, packed_codes
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,27 @@ def test_buckets_do_not_matter(spark):
         got = {r.doc_id: r.next_doc_id for r in with_next(docs, {}, bucket_rows=rows).collect()}
         ids = sorted(got, reverse=True)
         assert got == {a: b for a, b in zip(ids, [*ids[1:], ids[0]])}
+
+
+def test_hot_ids_and_many_equal_rows(spark, monkeypatch):
+    """Ids and nulls with more rows than a bucket should have, some of them equal."""
+    rows = [(k, f"text {k}") for k in range(20)]
+    rows += [(7, f"seven {k}") for k in range(9)] + [(7, "seven again and again")] * 7 + [(3, f"three {k}") for k in range(5)]
+    rows += [(None, f"none {k}") for k in range(8)] + [(None, "nothing but nothing")] * 6 + [(None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = {r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()}
+    ring = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -hashed[r[1]]))
+    want = []
+    for k, (i, text) in enumerate(ring):
+        after = ring[(k + 1) % len(ring)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    for hot, bucket in ((50_000, 2_000), (3, 4), (1, 1), (4, 1_000)):
+        monkeypatch.setattr(fingerprint, "HOT_ROWS", hot)
+        found = fingerprint.with_next(docs, {}, bucket_rows=bucket)
+        half = F.floor(F.length("text") / 2).cast("int")
+        edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half),
+                          F.substring(F.col("next_text"), F.lit(1), half))
+        got = found.select("doc_id", F.length("text").alias("n"), F.sha2(edited, 256).alias("sha")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str), (hot, bucket)
