@@ -32,6 +32,9 @@ HEADLINE = [
     "backup_expire",
 ]
 
+#: Queries that handle unread messages only; rates count what is handled.
+UNREAD = {"count_unseen_by_folder", "chunks", "size_batches", "delivery_careful"}
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -47,10 +50,12 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from checks import all_queries
+    from checks import all_queries, mailbox
 
     queries = all_queries()
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()  # also warms the session
+    messages = mailbox.messages(spark, sf_dir)  # counting also warms the session
+    every, unread = messages.count(), messages.filter("not seen").count()
+    rows = {name: unread if name in UNREAD else every for name in HEADLINE}
     seconds: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()
@@ -61,7 +66,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "messages_per_sec": {n: round(rows / s) for n, s in seconds.items()},
+        "messages_per_sec": {n: round(rows[n] / s) for n, s in seconds.items()},
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
         "cpus": int(cpus),
     }))

@@ -558,11 +558,16 @@ def two_arrival_streams(spark, sf_dir):
     events = spark.readStream.schema(mb.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parq*")
     metadata_of, contents_of = _parts_of_mail(spark, sf_dir)
     fetch = [Fetch(target=_archive(spark))]
-    for n, part in enumerate(("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2")):
+
+    def cycle(batch, source):
+        run_cycle(store, fetch, batch, mb.MAIL_NOW, source)
+
+    for n, then in enumerate((cycle, None, None)):  # the third is the second with a new checkpoint
         follow_arrivals(
-            events.filter(part), store, contents_of, metadata_of, f"{root}/checkpoint-{n}",
-            then=lambda batch, source: run_cycle(store, fetch, batch, mb.MAIL_NOW, source), available_now=True,
+            events.filter(f"event_id % 3 = {n}"), store, contents_of, metadata_of, f"{root}/checkpoint-{n}",
+            then=then, available_now=True,
         ).awaitTermination()
+    cycle(0, "afterwards")
     box = store.load()[0]
     address = [*CONTENT_KEY, "origin_batch"]
     return box.messages.join(box.contents, address).select(
