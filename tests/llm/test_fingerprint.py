@@ -64,9 +64,10 @@ def test_bins_by_hand(spark):
 
 def test_likeness_bounds(spark):
     texts = ["a b c d e f g", "a b c d e f g", "x y z u v w t s", "", None]
-    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(packed_codes(F.col("text")).alias("c"))
-    rows = frame.select(code_hex(F.col("c")).alias("f"), "c").alias("a").crossJoin(
-        frame.alias("b")).select("a.f", likeness(F.col("a.c"), F.col("b.c")).alias("s")).collect()
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select(
+        "k", packed_codes(F.col("text")).alias("c"))
+    rows = frame.select("k", code_hex(F.col("c")).alias("f"), "c").alias("a").crossJoin(
+        frame.alias("b")).orderBy("a.k", "b.k").select("a.f", likeness(F.col("a.c"), F.col("b.c")).alias("s")).collect()
     s = np.array([r.s for r in rows]).reshape(5, 5)
     assert (np.diag(s) == 1).all() and s[0, 1] == 1 and s[3, 4] == 1 and s[0, 3] == s[4, 0] == 0 and s[0, 2] < 0.25
 
