@@ -3,13 +3,15 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from boxes import NEW, NOW, keys, mailbox, message
+from boxes import NEW, NOW, OLD, keys, mailbox, message
+from lettermill.operators import delivery as dlv
 from lettermill.operators.delivery import ABORTED
 from lettermill.operators.filters import MessageFilter
 from lettermill.operators.folders import FolderChoice
 from lettermill.operators.reports import account_counters, change_log, cycle_summary, error_log
 from lettermill.plans.commands import CallTarget, Count, Delete, Fetch, MaildirTarget, Mark, TableTarget
 from lettermill.plans.pipeline import CatastrophicFailure, Mailbox, run_pipeline
+from lettermill.session import work_dir
 from lettermill.sources.archive_table import read_archive_index, read_archive_table
 
 ALL = FolderChoice()
@@ -249,3 +251,53 @@ def test_messages_without_size_are_conflicts(spark, tmp_path):
     assert ("a", "INBOX", 2, "conflict") in statuses(result)
     assert keys(result.messages) == [("a", "INBOX", 1), ("a", "INBOX", 2)]
     assert seen(result) == [("a", "INBOX", 1)]
+
+
+def test_state_changes_leave_inline_content_where_it_lies(spark, tmp_path):
+    """No table of the state has content, and no shuffle of a later fetch; the result still has it."""
+    rows = [message("a", "INBOX", i, OLD if i < 3 else NEW, body=b"m%d" % i) for i in range(6)]
+    rows += [message("b", "INBOX", 9, OLD, seen=True, body=b"same"), message("b", "INBOX", 9, OLD, seen=True, body=b"same")]
+    box = mailbox(spark, rows, accounts=(("a", "imap.gmail.com"), ("b", "imap.example.com")))
+    root = work_dir(spark).removeprefix("file:") + "/lettermill"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    target = TableTarget(str(tmp_path / "archive"), "host")
+    result = run_pipeline(box, [
+        Fetch(target=target, filter=MessageFilter(seen=False, older_than_days=(7,))),
+        Fetch(target=target),
+        Delete(filter=MessageFilter(older_than_days=(7,)), folders=FolderChoice(("INBOX",)), method="gmail-trash"),
+        Fetch(target=target, filter=MessageFilter(seen=True), mark="noop", folders=FolderChoice(("[Gmail]/Trash",))),
+    ], NOW)
+    assert result.messages.columns == box.messages.columns
+    found = sorted((r.account, r.folder, r.uid, bytes(r.body)) for r in result.messages.collect())
+    trash = "[Gmail]/Trash"
+    assert found == [("a", "INBOX", i, b"m%d" % i) for i in range(3, 6)] + [
+        ("a", trash, i + 1, b"m%d" % i) for i in range(3)] + [("b", trash, i, b"same") for i in (1, 2)]
+    index = read_archive_index(spark, target.path)
+    assert sorted(index.filter("part = '0'").toPandas()["uid"]) == [0, 1, 2]
+    assert sorted(index.filter("part = '1'").toPandas()["uid"]) == [3, 4, 5]
+    archived = read_archive_table(spark, target.path).filter((F.col("folder") == trash) & (F.col("account") == "a"))
+    assert sorted((r.uid, bytes(r.body)) for r in archived.collect()) == [(i + 1, b"m%d" % i) for i in range(3)]
+    made = [n for n in os.listdir(root) if n not in before]
+    assert made and not any({"header", "body"} & set(spark.read.parquet(f"file:{root}/{n}").columns) for n in made)
+
+
+def test_only_turns_that_come_are_read(spark):
+    """Content is asked for by waves; what is handed over is as if it had all been there."""
+    rows = spark.createDataFrame(
+        [(0, "a", 0, "f", n // 2, n) for n in range(40)] + [(1, "b", 0, "f", n // 2, n) for n in range(40)],
+        "account_idx int, account string, folder_idx int, folder string, batch_id bigint, uid bigint")
+    content = dlv.clean_content(rows.select(
+        "account", "folder", "uid", F.lit("h").alias("header"), F.concat("account", F.lit(" "), "uid").alias("body")))
+    asked = []
+
+    def content_of(keys):
+        asked.append(keys.count())
+        return content.join(keys, ["account", "folder", "uid"], "left_semi")
+
+    def fn(raw, _):
+        return raw not in (b"ha 2", b"ha 3")
+
+    whole = dlv.deliver_in_turn(rows.join(content, ["account", "folder", "uid"]), fn, "careful", 2)
+    waves = dlv.deliver_in_turn(rows, fn, "careful", 2, content_of=content_of)
+    assert sorted(map(tuple, waves.collect())) == sorted(map(tuple, whole.collect()))
+    assert asked == [8, 36] and waves.count() == 4 + 40
