@@ -1,3 +1,5 @@
+import dataclasses
+import errno
 import os
 
 import pytest
@@ -198,3 +200,73 @@ def test_numbers_are_looked_up_without_a_listing(spark, tmp_path, monkeypatch):
     assert {r.dup_no for r in md.given_numbers(spark, path, hashes.limit(1)).collect()} <= {1, 3}
     plan = md.given_numbers(spark, path, hashes)._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan.lower() or "Broadcast" in plan or "prefix" in plan
+
+
+def test_copies_of_a_fetch_share_a_file(spark, tmp_path):
+    """Each message has its name; copies that one task writes take the disk blocks of one file."""
+    path = str(tmp_path / "mail")
+    rows = [message("a", "INBOX", i, body=b"x%d" % (i % 3)) for i in range(12)]
+    box = mailbox(spark, rows)
+    box = dataclasses.replace(box, messages=box.messages.coalesce(1))
+    run_pipeline(box, [Fetch(target=MaildirTarget(path, "host"))], NOW)
+    names = files(path)
+    assert len(names) == 12 and files(path, "tmp") == []
+    at_inode = {}
+    for name in names:
+        at_inode.setdefault(os.stat(os.path.join(path, "new", name)).st_ino, []).append(name)
+    assert sorted(map(len, at_inode.values())) == [4, 4, 4]
+    assert all(len({n.split("_")[1] for n in same}) == 1 for same in at_inode.values())
+    os.unlink(os.path.join(path, "new", names[0]))
+    back = md.ingest_maildir(spark, path).select(
+        "msg_hash", F.sha2(F.concat("header", "body"), 256).alias("real")).collect()
+    assert len(back) == 11 and all(r.msg_hash == r.real for r in back)
+
+
+def test_copies_get_own_files_where_links_end(tmp_path, monkeypatch):
+    """As when a file has as many names as the file system allows."""
+    root = md.make_maildir(str(tmp_path / "mail"))
+    shared = {}
+
+    def full(source, target):
+        raise OSError(errno.EMLINK, "too many links")
+
+    with monkeypatch.context() as m:
+        m.setattr(md.os, "link", full)
+        written = md._write_tmp(root, [b"x", b"y", b"x"], "host", ["hx", "hy", "hx"], shared)
+    assert [error for _, error in written] == [None] * 3 and len(files(root, "tmp")) == 3
+    later = md._write_tmp(root, [b"x", b"z"], "host", ["hx", None], shared)
+    kept = [os.path.join(root, "tmp", name) for name, _ in (*written, *later)]
+    assert [open(p, "rb").read() for p in kept] == [b"x", b"y", b"x", b"x", b"z"]
+    assert os.path.samefile(kept[0], kept[3]) and len({os.stat(p).st_ino for p in kept}) == 4
+
+
+def test_copies_of_a_file_that_was_not_written(tmp_path, monkeypatch):
+    """A failed sync takes back one message; its copies are written themselves, or fail too."""
+    root = md.make_maildir(str(tmp_path / "mail"))
+    real, calls = os.fsync, []
+
+    def once(handle):
+        calls.append(handle)
+        if len(calls) == 1:
+            raise OSError("lost")
+        real(handle)
+
+    monkeypatch.setattr(md.os, "fsync", once)
+    written = md._write_tmp(root, [b"x", b"x"], "host", ["hx", "hx"], {})
+    assert [error for _, error in written] == ["lost", None] and files(root, "tmp") == [written[1][0]]
+
+
+def test_remembered_files_are_bounded(tmp_path, monkeypatch):
+    root, shared = md.make_maildir(str(tmp_path / "mail")), {}
+    monkeypatch.setattr(md, "_SHARED", 2)
+    md._write_tmp(root, [b"1", b"2", b"3", b"4"], "host", list("1234"), shared)
+    assert list(shared) == ["3", "4"]
+
+
+def test_a_name_given_twice_is_taken(spark, tmp_path):
+    """Also when both messages are copies of one content."""
+    path = str(tmp_path / "mail")
+    named = _named_mail(spark).filter("uid < 3").coalesce(1)
+    with pytest.raises(Exception, match="taken"):
+        md.write_maildir(named.unionByName(named).coalesce(1), path)
+    assert files(path) == [] and files(path, "tmp") == []
