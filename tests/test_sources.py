@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxes import mailbox, message
+from lettermill.functions.content import split_message
 from lettermill.operators import delivery as dlv
 from lettermill.operators.ranking import duplicate_number
 from lettermill.plans.commands import Fetch, MaildirTarget
@@ -270,3 +271,35 @@ def test_a_name_given_twice_is_taken(spark, tmp_path):
     with pytest.raises(Exception, match="taken"):
         md.write_maildir(named.unionByName(named).coalesce(1), path)
     assert files(path) == [] and files(path, "tmp") == []
+
+
+def test_content_read_back_splits_as_columns_do(spark, tmp_path):
+    """Files are split where they are read, not decoded and encoded again; parts are the same."""
+    path = md.make_maildir(str(tmp_path / "mail"))
+    odd = [b"", b"\n", b"\r\n", b"\r\nx", b"\nx", b"a", b"a\n\nb\n\nc", b"a\r\n\r\nb\n\nc", b"a\n\nb\r\n\r\nc",
+           b"a\n\r\nb", b"a\r\n\nb", b"a\r\r\n\r\n", b"\xff\n\n\x00\xfe", b"a\n", b"a\r\n", b"\r\r\n", b"\n\r\n", b"\n\n"]
+    for n, raw in enumerate(odd):
+        with open(os.path.join(path, "new", f"m{n}"), "wb") as file:
+            file.write(raw)
+    back = md.ingest_maildir(spark, path, 2)
+    got = {r.name: (r.length, bytes(r.header), bytes(r.body)) for r in back.collect()}
+    raws = spark.createDataFrame([(f"m{n}", raw) for n, raw in enumerate(odd)], "name string, raw binary")
+    parts = raws.select("name", split_message(F.col("raw")).alias("p")).select("name", "p.header", "p.body")
+    assert got == {r.name: (len(r.header) + len(r.body), bytes(r.header), bytes(r.body)) for r in parts.collect()}
+    assert "ISO-8859-1" not in back._jdf.queryExecution().toString()
+
+
+def test_names_are_linked_in_large_batches(spark, tmp_path, monkeypatch):
+    """Each batch ends with a sync of the directory; content alone comes in small ones."""
+    from lettermill.plans import pipeline
+
+    name, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    usual = int(spark.conf.get(name))
+    for step in ("write_tmp_files", "publish_files"):
+        def spy(*args, step=step, real=getattr(pipeline, step)):
+            asked[step] = int(spark.conf.get(name))
+            return real(*args)
+
+        monkeypatch.setattr(pipeline, step, spy)
+    run_pipeline(mailbox(spark, [message("a", "INBOX", 1)]), [Fetch(target=MaildirTarget(str(tmp_path / "m"), "host"))], NOW)
+    assert asked["write_tmp_files"] < asked["publish_files"] == usual
