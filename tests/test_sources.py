@@ -303,3 +303,88 @@ def test_names_are_linked_in_large_batches(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(pipeline, step, spy)
     run_pipeline(mailbox(spark, [message("a", "INBOX", 1)]), [Fetch(target=MaildirTarget(str(tmp_path / "m"), "host"))], NOW)
     assert asked["write_tmp_files"] < asked["publish_files"] == usual
+
+
+def folders_of(path):
+    return sorted(n for n in os.listdir(path) if n.startswith(".IAH-"))
+
+
+def test_names_beyond_one_directory(spark, tmp_path, monkeypatch):
+    """A directory takes a bounded number of names; more go into folders, and numbers go on."""
+    path = str(tmp_path / "mail")
+    box = mailbox(spark, [message("a", "INBOX", i, body=b"x%d" % (i % 7)) for i in range(40)])
+    fetch = Fetch(target=MaildirTarget(path, "host"))
+    monkeypatch.setattr(md, "_FOLDER", 40)
+    run_pipeline(box, [fetch], NOW)
+    assert len(files(path)) == 40 and folders_of(path) == []
+    result = run_pipeline(box, [fetch], NOW)
+    assert len(files(path)) == 40 and len(folders_of(path)) == 16 and result.messages.filter("not seen").count() == 0
+    assert max(len(files(f"{path}/{f}")) for f in folders_of(path)) < 40 and files(path, "tmp") == []
+    names = [r.name for r in md.list_maildir(spark, path).collect()]
+    assert len(names) == len(set(names)) == 80
+    back = md.ingest_maildir(spark, path).select(
+        "name", "dup_no", "msg_hash", F.sha2(F.concat("header", "body"), 256).alias("real")).collect()
+    assert sorted(names) == sorted(r.name for r in back) and all(r.msg_hash == r.real for r in back)
+    assert max(r.dup_no for r in back) == 11
+
+
+@pytest.mark.parametrize("earlier", [0, 1])
+def test_write_beyond_one_directory(spark, tmp_path, monkeypatch, earlier):
+    """Through the format too; names given before there were folders, or other ones, are taken."""
+    path = str(tmp_path / "mail")
+    monkeypatch.setattr(md, "_FOLDER", 20 if earlier == 0 else 10)
+    md.write_maildir(_named_mail(spark), path)
+    assert len(folders_of(path)) == 16 * earlier and len(files(path)) == 20 * (1 - earlier)
+    monkeypatch.setattr(md, "_FOLDER", 1)
+    more = _named_mail(spark, 21)
+    with pytest.raises(Exception, match="taken"):
+        md.write_maildir(more, path)
+    assert md.list_maildir(spark, path).count() == 20 and files(path, "tmp") == []
+    md.write_maildir(more.filter("uid >= 20"), path)
+    assert {r.name for r in md.list_maildir(spark, path).collect()} == {f"m{k}" for k in range(21)}
+    assert len(files(path)) == 20 * (1 - earlier) and files(path, "tmp") == []
+
+
+def test_a_file_gets_no_more_names_than_it_may_have(tmp_path, monkeypatch):
+    """All names of copies can be given, as a file has no others besides that in tmp/."""
+    root, real = md.make_maildir(str(tmp_path / "mail")), os.link
+
+    def link(source, target):
+        if os.stat(source).st_nlink >= 4:
+            raise OSError(errno.EMLINK, "too many links")
+        real(source, target)
+
+    monkeypatch.setattr(md.os, "link", link)
+    monkeypatch.setattr(md, "_names_per_file", lambda root: 3)
+    written = md._TaskFiles(root, "host")
+    made = [tmp for k in range(2) for tmp, _ in written.write([b"x"] * 5, ["hx"] * 5)]
+    assert len(set(made)) < 10 and max(made.count(tmp) for tmp in made) == 3
+    with open(os.path.join(root, "tmp", "L"), "w") as out:
+        out.writelines(f"{tmp}\tm{n}\n" for n, tmp in enumerate(made))
+    assert md._link_listing(root, "L") is None and len(files(root)) == 10
+    md._drop(root, "L")
+    assert files(root, "tmp") == []
+
+
+def test_few_files_are_open_at_a_time(tmp_path, monkeypatch):
+    root, real, most = md.make_maildir(str(tmp_path / "mail")), md._write_some, []
+    monkeypatch.setattr(md, "_write_some", lambda root, names, raw: (most.append(len(names)), real(root, names, raw))[1])
+    md._write_tmp(root, [b"%d" % n for n in range(2 * md._OPEN + 1)], "host")
+    assert max(most) <= md._OPEN and len(files(root, "tmp")) == 2 * md._OPEN + 1
+
+
+def test_copies_are_one_file_until_they_are_named(spark, tmp_path):
+    """A copy has no name of its own in tmp/; its file is removed with the last copy only."""
+    path = str(tmp_path / "mail")
+    clean = dlv.clean_content(mailbox(spark, [message("a", "INBOX", i) for i in range(6)]).messages).coalesce(1)
+    written = spark.createDataFrame(md.write_tmp_files(clean, path, "host").drop("detail").toPandas())
+    assert len([n for _, _, names in os.walk(os.path.join(path, "tmp")) for n in names]) == 1
+    assert written.select("tmp_name").distinct().count() == 1
+    late, shown = written.filter("uid < 2"), written.filter("uid >= 2")
+    assert md.discard_files(late, path, shown).count() == 0
+    named = shown.withColumn("name", F.concat(F.lit("m"), "uid"))
+    assert [r.ok for r in md.publish_files(named, path).collect()] == [True] * 4
+    assert files(path) == ["m2", "m3", "m4", "m5"] and files(path, "tmp") == []
+    again = spark.createDataFrame(md.write_tmp_files(clean, path, "host").drop("detail").toPandas())
+    md.discard_files(again, path, again.limit(0)).collect()
+    assert files(path, "tmp") == []
