@@ -15,7 +15,9 @@ from lettermill.plans.commands import Fetch, TableTarget
 from lettermill.session import work_dir
 from lettermill.sources import archive_table as at
 from lettermill.sources import maildir as md
+from lettermill.sources import store as store_module
 from lettermill.sources.store import Store
+from lettermill.streaming.cycles import run_cycle
 
 
 @pytest.fixture
@@ -103,3 +105,50 @@ def test_stored_content_is_compressed(spark, tmp_path):
         "account", "origin_folder", "origin_uid", "header", "body"), "mail")
     files = [n for _, _, names in os.walk(tmp_path / "store" / "contents") for n in names if n.endswith(".parquet")]
     assert files and all(".zstd." in n for n in files)
+
+
+def test_stored_content_is_written_where_it_was_read(spark, tmp_path):
+    """Neither dealt out nor sorted: each task writes what it has into files of the buckets."""
+    box = mailbox(spark, [message("a", "INBOX", i, body=b"m%d" % i) for i in range(40)])
+    store = Store.create(spark, f"file:{tmp_path}/store", box.accounts, box.folders, buckets=2)
+    rows = box.messages.repartition(3, "uid")
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    store.add_arrivals(0, rows.drop("header", "body"), rows.select(
+        "account", "origin_folder", "origin_uid", "header", "body"), "mail")
+    files = [n for _, _, names in os.walk(tmp_path / "store" / "contents") for n in names if n.endswith(".parquet")]
+    assert {n.split("-")[1] for n in files} == {"00000", "00001", "00002"} and spark.conf.get(name) == before
+    loaded = store.load()[0]
+    address = ["account", "origin_folder", "origin_uid", "origin_batch"]
+    whole = loaded.messages.join(loaded.contents.hint("merge"), address)
+    assert not any("body#" in e for e in exchanges(whole))
+    assert sorted((r.uid, bytes(r.body)) for r in whole.collect()) == [(i, b"m%d" % i) for i in range(40)]
+
+
+def test_many_buckets_are_not_open_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "_OPEN_BUCKETS", 2)
+    box = mailbox(spark, [message("a", "INBOX", i, body=b"m%d" % i) for i in range(40)])
+    store = Store.create(spark, f"file:{tmp_path}/store", box.accounts, box.folders, buckets=5)
+    store.add_arrivals(0, box.messages.drop("header", "body"), box.messages.select(
+        "account", "origin_folder", "origin_uid", "header", "body"), "mail")
+    files = [n for _, _, names in os.walk(tmp_path / "store" / "contents") for n in names if n.endswith(".parquet")]
+    assert len(files) == 5 and store.load()[0].contents.count() == 40
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle")}
+
+
+def test_shuffles_of_a_cycle_do_not_stay(spark, tmp_path):
+    box = mailbox(spark, [message("a", "INBOX", i, body=b"m%d" % i) for i in range(9)])
+    store = Store.create(spark, f"file:{tmp_path}/store", box.accounts, box.folders, buckets=2)
+    rows = box.messages.repartition(3, "uid")
+    before, spark_setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    store.add_arrivals(0, rows.drop("header", "body"), rows.select(
+        "account", "origin_folder", "origin_uid", "header", "body"), "mail")
+    arrived = shuffle_files(spark) - before
+    run_cycle(store, [Fetch(target=TableTarget(str(tmp_path / "archive")))], 0, NOW, "clock")
+    left = shuffle_files(spark) - before - arrived
+    assert len({n.split("_")[1] for n in left}) <= 8 and len({n.split("_")[1] for n in arrived}) <= 3
+    assert spark.conf.get(spark_setting) == "false" and store.messages().filter("not seen").count() == 0
