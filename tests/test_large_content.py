@@ -152,3 +152,13 @@ def test_shuffles_of_a_cycle_do_not_stay(spark, tmp_path):
     left = shuffle_files(spark) - before - arrived
     assert len({n.split("_")[1] for n in left}) <= 8 and len({n.split("_")[1] for n in arrived}) <= 3
     assert spark.conf.get(spark_setting) == "false" and store.messages().filter("not seen").count() == 0
+
+
+def test_names_go_once_to_documents_that_come_twice(spark, tables):
+    place = f"{tables}/twice"
+    documents = spark.read.parquet(f"{tables}/documents.parquet")
+    documents.unionByName(documents.filter("doc_id = 2")).write.parquet(f"{place}/documents.parquet")
+    spark.read.parquet(f"{tables}/events.parquet").write.parquet(f"{place}/events.parquet")
+    got = flows.maildir_sink(spark, place)
+    assert got.count() == got.select("name").distinct().count() == flows._hashed(spark, place).count() > 50
+    assert got.filter(~F.col("name").contains(F.col("msg_hash"))).count() == 0
